@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_dedup, mixing, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op9_sharding": sharding.op9_sharding,
 }
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op4_line_dedup": line_dedup.OP4_SQL,
 }
