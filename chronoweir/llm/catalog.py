@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, sharding, token_counts
+from . import bpe, fingerprints, line_dedup, mixing, quality, sharding, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_bpe": bpe.op3_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_quality": quality.op6_quality,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op9_sharding": sharding.op9_sharding,
 }
 SQL = {
