@@ -1,6 +1,6 @@
 """Document fingerprints: context-triggered piecewise hashing.
 
-A hash of the last WINDOW bytes rolls over the text; where it ends in enough zero bits, a piece ends. Each piece gives one of 64 characters by a hash of its bytes. A fingerprint is `size:signature:signature`, the signatures at block size `size` and twice that. The block size is the largest power of two that gives a text of its length 32 pieces on average, halved while there are fewer than 12; a signature has 64 characters at most, the last standing for all the rest of the text.
+A hash of the last WINDOW bytes rolls over the text; where it ends in enough zero bits, a piece ends. Each piece gives one of 64 characters by a hash of its bytes. A fingerprint is `size:signature:signature`, the signatures at block size `size` and twice that. The block size is the largest power of two that gives a text of its length 32 pieces on average, halved while there are fewer; a signature has 64 characters at most, the last standing for all the rest of the text.
 
 Likeness of two fingerprints: 1 if equal, else the best over compatible block sizes (equal, or one twice the other) of 1 - edit distance / longer length, and 0 where signatures share no run of COMMON characters. Edit distances of many pairs are counted together, bit-parallel, one machine word a pair.
 
@@ -23,8 +23,8 @@ from . import common
 from .words import mixed
 
 WINDOW = 7
-LEAST, FEW, MOST = 32, 12, 64
-COMMON = 5
+LEAST, FEW, MOST = 32, 32, 64
+COMMON = 4
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _BASE = 0x5851F42D4C957F2D | 1
 
