@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, line_dedup, mixing, quality, sharding, token_counts
+from . import bpe, fingerprints, line_dedup, minhash, mixing, quality, sharding, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op9_sharding": sharding.op9_sharding,
+    "op10_minhash": minhash.op10_minhash,
 }
 SQL = {
     "op1_mixing": mixing.OP1_SQL,

@@ -48,8 +48,8 @@ def hashes(*columns: Column) -> tuple[Column, Column]:
 
 
 def salt(column: Column, bits: int) -> Column:
-    """0 to 2**bits - 1 (bits up to 16) from the MD5 of a value's text, which other engines can also compute."""
-    return F.shiftright(F.conv(F.substring(F.md5(column.cast("string")), 1, 4), 16, 10).cast("int"), 16 - bits)
+    """0 to 2**bits - 1 (bits up to 16) from the MD5 of a value's text, which other engines can also compute; 0 for null."""
+    return F.coalesce(F.shiftright(F.conv(F.substring(F.md5(column.cast("string")), 1, 4), 16, 10).cast("int"), 16 - bits), F.lit(0))
 
 
 def size_class(size: Column, digits: int = 4) -> Column:
