@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, line_dedup, minhash, mixing, quality, sharding, token_counts
+from . import bpe, fingerprints, line_dedup, minhash, mixing, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_quality": quality.op6_quality,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_sharding": sharding.op9_sharding,
     "op10_minhash": minhash.op10_minhash,
 }
