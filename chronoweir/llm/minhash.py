@@ -139,7 +139,8 @@ def confirmed(members: DataFrame, docs: DataFrame, k: int, percent: int) -> Data
     """Links (a, b), enough to connect what is linked, of members (node, n, cluster) with the texts of docs (doc_id, text)."""
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n")
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(dealt, "node")
+    # texts are shuffled once at any size: a broadcast of the members would stop working as they grow
+    rows = docs.select(F.col("doc_id").alias("node"), "text").join(dealt.hint("merge"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("cluster", "node", "text", "block", other)
     rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "text", "block")
