@@ -9,6 +9,7 @@ Cases: null or empty text: scored like a text without any toxic word. Documents
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from . import common
 from .minhash import sets, sketches
 
-MAX_TOXIC, MAX_CLEAN = 1500, 3500
+MAX_TOXIC, MAX_CLEAN = 1000, 2500
 THRESHOLD = 0.3
 #: Words on each side of a labelled one in a training stretch.
 AROUND = 8
@@ -49,6 +50,14 @@ class Model:
     pair: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     curve: tuple[float, float] | None = None
 
+    def to_json(self) -> str:
+        return json.dumps({"weights": self.weights, "bias": self.bias, "pair": self.pair.tolist(), "curve": self.curve})
+
+    @staticmethod
+    def from_json(text: str) -> Model:
+        m = json.loads(text)
+        return Model(m["weights"], m["bias"], np.array(m["pair"]), m["curve"] and tuple(m["curve"]))
+
     def emission(self, word: bytes) -> float:
         get = self.weights.get
         return self.bias + sum(get(f, 0.0) for f in features(word.decode()))
@@ -179,9 +188,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             at = i * 7919 % len(words)
             stretches.append((words[at : at + 4 * AROUND], [0] * len(words[at : at + 4 * AROUND])))
     model = _trained(stretches, known)
+    del split, memo, stretches
     emit = Emissions(model)
-    raw = [t.encode().split() for t in texts]
-    evidence = _evidence(raw, emit, model)[0]
+    evidence = np.concatenate([_evidence([t.encode().split() for t in texts[k : k + 500]], emit, model)[0] for k in range(0, len(texts), 500)])
     return _curved(model, np.log(1e-3 + evidence), y)
 
 
@@ -251,15 +260,14 @@ def _evidence(words: list[list[bytes]], emit: Emissions, model: Model):
     return np.maximum(total[ends] - total[ends - counts], 0), p, counts
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[list[str], list[int]]:
-    """Texts and labels to train on: of labelled documents that aren't held out, those with the least hashes, up to a bound for each class."""
+def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
+    """(doc_id, text, _toxic) to train on: of labelled documents that aren't held out, those with the least hashes, up to a bound for each class."""
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("_toxic"))
     rows = rows.groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"))
     pick = lambda y, n: rows.filter(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, max_toxic).unionByName(pick(0, max_clean))
     # at most max_toxic + max_clean ids
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_toxic").toArrow().sort_by("doc_id")
-    return [x or "" for x in found.column("text").to_pylist()], found.column("_toxic").to_pylist()
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_toxic")
 
 
 def held_out():
@@ -304,8 +312,15 @@ def score(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra.fields]))
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*training_sample(docs, labels))
+def trained(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+    """The model of a sample's documents, which one task learns; the driver gets its weights."""
+
+    def run(batches):
+        rows = sorted((i, t or "", y) for batch in batches for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_toxic")), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([fit([r[1] for r in rows], [r[2] for r in rows]).to_json()])], names=["model"])
+
+    sample = training_sample(docs, labels, max_toxic, max_clean)
+    return Model.from_json(sample.repartition(1).mapInArrow(run, "model string").first()[0])
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
