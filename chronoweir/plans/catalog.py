@@ -232,16 +232,16 @@ def fingerprint_bounds(spark, sf_dir):
 
 
 _SCORES = """
-WITH p AS (SELECT user_id, ts <= TIMESTAMP '2024-01-15' AS train, count(*) AS n, min(ts) AS lo, max(ts) AS hi, list(value ORDER BY ts, event_id) AS vs, list(ts ORDER BY ts, event_id) AS ss FROM events GROUP BY ALL)
-SELECT b.user_id::VARCHAR AS test_name, a.user_id::VARCHAR AS train_name, CASE WHEN a.vs = b.vs AND a.ss = b.ss THEN 1.0 WHEN a.hi < b.lo OR b.hi < a.lo THEN 0.0 WHEN a.vs = b.vs THEN 0.95 ELSE 0.5 END::DOUBLE AS similarity
-FROM p a, p b WHERE a.user_id < 40 AND b.user_id < 40 AND a.train
+WITH p AS (SELECT event_type, ts <= TIMESTAMP '2024-01-15' AS train, count(*) AS n, min(ts) AS lo, max(ts) AS hi, list(value ORDER BY ts, event_id) AS vs, list(ts ORDER BY ts, event_id) AS ss FROM events GROUP BY ALL)
+SELECT b.event_type AS test_name, a.event_type AS train_name, CASE WHEN a.vs = b.vs AND a.ss = b.ss THEN 1.0 WHEN a.hi < b.lo OR b.hi < a.lo THEN 0.0 WHEN a.vs = b.vs THEN 0.95 ELSE 0.5 END::DOUBLE AS similarity
+FROM p a, p b WHERE a.train
 """
 
 
 @query(_SCORES)
 def leakage_similarity(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").filter("user_id < 40").withColumn("train", F.col("ts") <= F.lit(CUT))
-    prints = leakage.grouped_fingerprints(rows, SeriesSpec("ts", ["user_id", "train"], ["event_id"]), "value").withColumn("name", F.col("user_id").cast("string"))
+    rows = _t(spark, sf_dir, "events").withColumn("train", F.col("ts") <= F.lit(CUT))
+    prints = leakage.grouped_fingerprints(rows, SeriesSpec("ts", ["event_type", "train"], ["event_id"]), "value").withColumnRenamed("event_type", "name")
     return leakage.scores(prints.filter("train"), prints)
 
 
