@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, line_dedup, minhash, mixing, quality, sharding, token_counts, toxicity
+from . import bpe, fingerprints, line_dedup, minhash, mixing, quality, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
