@@ -190,7 +190,7 @@ class FeatureWindow:
         spec = SeriesSpec("_i", ["_run"])
         made = {n: e for c in columns for n, e in self.expressions(c, spec).items()}
         rows = append(rows, made).filter(F.col("_run") == F.floor(F.col("_i") / size))
-        return rows.select(*(df.columns if include_original else []), *made)
+        return rows.select(*(F.col(f"`{n}`") for n in ([*df.columns, *made] if include_original else made)))
 
 
 def feature_window(spec: SeriesSpec, lags: Sequence[int], rolling: Sequence[int] | None = None) -> FeatureWindow:

@@ -23,7 +23,7 @@ def from_list(spark: SparkSession, values: Sequence[float | None]) -> DataFrame:
 
 
 def to_list(df: DataFrame, column: str, order: str = "seq") -> list:
-    return [r[0] for r in df.orderBy(order).select(column).collect()]
+    return [r[column] for r in df.orderBy(order).collect()]
 
 
 def from_arrow(spark: SparkSession, table: pa.Table, seq: str | None = "seq") -> DataFrame:
