@@ -42,6 +42,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored() tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def hashes(*columns: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes with different seeds, 128 bits together."""
     return F.xxhash64(*columns), F.xxhash64(F.lit(7919), *columns)

@@ -188,16 +188,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text, _whole, _single): each row's runs and windows that repeat, as lists of places."""
     found = common.stored(all_runs(docs), "runs")
     some = common.stored(_repeated(found, "gram"), "repeated-grams")
-    contents = common.stored(some.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "place")).alias("witness")), "contents")
+    common.discard(found)
+    counted = contents = common.stored(some.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "place")).alias("witness")), "contents")
     several = contents.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram", F.lit(True).alias("several"))
     contents = contents.join(several, "gram", "left").withColumn("several", F.coalesce("several", F.lit(False)))
     judged = some.join(contents, ["gram", "content"])
     asked = F.col("several") & (F.col("witness") == F.xxhash64("doc_id", "place"))
     lists = judged.groupBy("doc_id").agg(F.collect_list(F.when(F.col("n") > 1, F.col("place"))).alias("_whole"), F.collect_list(F.when(asked, F.col("place"))).alias("_asked"))
     table = _bucketed(docs.select("doc_id", "text").join(lists.hint("merge"), "doc_id", "left"))
+    common.discard(some, counted)
     cores = common.stored(_rows_of(table, None, "_asked", _cores, ["core"]), "cores")
     groups = _repeated(cores, "core").groupBy("doc_id").agg(F.collect_list("place").alias("_groups"))
     windows = common.stored(_rows_of(table, groups.hint("merge"), "_groups", _windows, ["h", "g"]), "windows")
+    common.discard(cores)
     single = _repeated(windows, "h", "g").groupBy("doc_id").agg(F.collect_list("place").alias("_single"))
     return table.select("doc_id", "text", "_whole").join(single.hint("merge"), "doc_id", "left")
 
