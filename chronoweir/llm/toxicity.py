@@ -29,6 +29,8 @@ THRESHOLD = 0.3
 #: Words on each side of a labelled one in a training stretch.
 AROUND = 8
 STEPS = 60
+#: Evidence that says as little as none: below it the curve is flat.
+LITTLE = 0.3
 KEPT_WORDS = 400_000
 _WORD = re.compile(f"[^{re.escape(common.SPACE)}]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -65,7 +67,7 @@ class Model:
     def scores(self, evidence: np.ndarray) -> np.ndarray:
         if self.curve is None:
             return np.zeros(len(evidence))
-        return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * np.log(1e-3 + evidence), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * np.log(LITTLE + evidence), -30, 30)))
 
 
 class Emissions(dict):
@@ -125,17 +127,22 @@ def _distinct(texts: list[str]) -> list[int]:
 
 
 def _marked(texts: list[list[str]], toxic: np.ndarray, known: Callable[[str], list[str]]) -> set[str]:
-    """Words with a feature that toxic documents have too often for chance, and clean ones hardly.
+    """Words with a feature that toxic documents have too often for chance, and clean ones hardly: once in a document, or twice at least.
 
     Features are taken from the most telling on, and each must hold for the words that no earlier one has: so the beginning of a telling word doesn't count by that word alone.
     """
-    found = [set(words) for words in texts]
-    yes, no = Counter(), Counter()
+    found = [Counter(words) for words in texts]
+    seen = {(y, k): Counter() for y in (True, False) for k in (1, 2)}
     for words, y in zip(found, toxic.tolist(), strict=True):
-        (yes if y else no).update({f for w in words for f in known(w)})
+        mine: Counter = Counter()
+        for w, times in words.items():
+            for f in known(w):
+                mine[f] += times
+        seen[y, 1].update(mine.keys())
+        seen[y, 2].update(f for f, times in mine.items() if times > 1)
     n, m = int(toxic.sum()), int((~toxic).sum())
     base = n / (n + m)
-    limit = max(np.log(1e-3 / (len(yes) + 1)), np.log(1e-4) if n < 100 else -np.inf)
+    limit = max(np.log(1e-3 / (len(seen[True, 1]) + 1)), np.log(1e-4) if n < 100 else -np.inf)
 
     def chance(k: int, c: int) -> float:
         """A bound for the logarithm of the chance of k toxic documents or more out of k + c; 0 if clean ones have it too."""
@@ -144,23 +151,28 @@ def _marked(texts: list[list[str]], toxic: np.ndarray, known: Callable[[str], li
         share = k / (k + c)
         return -(k * np.log(share / base) + (c * np.log((1 - share) / (1 - base)) if c else 0))
 
-    good = {f: x for f, k in yes.items() if (x := chance(k, no[f])) < limit}
+    good = {f: x for f in seen[True, 1] if (x := min(chance(seen[True, k][f], seen[False, k][f]) for k in (1, 2))) < limit}
     words_of: dict[str, set[str]] = {}
-    places: dict[str, list[int]] = {}
+    places: dict[str, list[tuple[int, int]]] = {}
     for i, words in enumerate(found):
-        for w in words:
+        for w, times in words.items():
             mine = [f for f in known(w) if f in good]
             for f in mine:
                 words_of.setdefault(f, set()).add(w)
             if mine:
-                places.setdefault(w, []).append(i)
+                places.setdefault(w, []).append((i, times))
     marked: set[str] = set()
     for f in sorted(good, key=lambda f: (good[f], -len(f), f)):
-        rest = words_of[f] - marked
-        docs = {i for w in rest for i in places[w]}
-        k = sum(bool(toxic[i]) for i in docs)
-        if chance(k, len(docs) - k) < limit:
-            marked |= rest
+        rest, docs = words_of[f] - marked, Counter()
+        for w in rest:
+            for i, times in places[w]:
+                docs[i] += times
+        for least in (1, 2):
+            held = [i for i, times in docs.items() if times >= least]
+            k = sum(bool(toxic[i]) for i in held)
+            if chance(k, len(held) - k) < limit:
+                marked |= rest
+                break
     return marked
 
 
@@ -191,7 +203,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     del split, memo, stretches
     emit = Emissions(model)
     evidence = np.concatenate([_evidence([t.encode().split() for t in texts[k : k + 500]], emit, model)[0] for k in range(0, len(texts), 500)])
-    return _curved(model, np.log(1e-3 + evidence), y)
+    return _curved(model, np.log(LITTLE + evidence), y)
 
 
 def _trained(stretches, known: Callable[[str], list[str]]) -> Model:
