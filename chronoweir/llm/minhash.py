@@ -9,7 +9,7 @@ A sketch has t coordinates. In round i < t every shingle is hashed to a bin and
 
 A large component's comparisons grow with the square of its number of different near copies (not of exact ones); they are matrix products inside blocks, never rows.
 
-Cases: null or empty text, or no words: an empty set, linked with nothing. Fewer words than a shingle: all words as one shingle. Repeated rows: equal sets, so one component. Ids are taken for unique apart from that: rows of one id with different texts are one node. Very long texts: whole sets, blocks are bounded by shingles too. Empty table: empty result. Other columns are passed through by near_dedup(), whatever their names.
+Cases: null or empty text, or no words: an empty set, linked with nothing. Fewer words than a shingle: all words as one shingle. Repeated rows: equal sets, so one component. Ids are taken for unique apart from that: rows of one id with different texts are one node. Null ids: linked with nothing but rows of an equal set, and near_dedup() keeps them. Very long texts: whole sets, blocks are bounded by shingles too. Empty table: empty result. Other columns are passed through by near_dedup(), whatever their names.
 """
 
 from __future__ import annotations
@@ -179,10 +179,10 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that aren't the smallest doc_id of their component; rows with one doc_id stay or go together, and of rows with one id and text one stays."""
+    """docs without the documents that aren't the smallest doc_id of their component; of rows with one doc_id one stays, and rows without an id stay."""
     gone = classes(docs, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept.dropDuplicates(["doc_id"])
+    kept = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
