@@ -4,12 +4,13 @@ Every window of LENGTH bytes has an anchor, the place of the least hash among it
 
 1. Runs of one whole content (a 64-bit hash, beside that of the anchor's gram) that occurs twice repeat with all their windows.
 2. Runs whose content occurs once, while their anchor's gram occurs with other contents too, are undecided: windows at the edge of repeated passages. Of each other content of the gram one run stays as a witness.
-3. The undecided runs' and witnesses' windows are taken in groups of GROUP neighbouring offsets; a group's windows share a core, and only cores that occur twice stay.
-4. Windows of these groups are compared by their own hashes.
+3. The undecided runs and witnesses are taken in groups of windows at GROUP neighbouring offsets from the anchor. A group's windows share a core of LENGTH - GROUP + 1 bytes; groups are judged by core and content as runs are by gram and content.
+4. What is still undecided is a collection of short strings, a group's bytes with the core put as CODE bytes of its hash. Collections of whole cores, bounded in size, get their Burrows-Wheeler transform and common prefixes column by column (bwt.py): a window repeats if it has its whole length in common with a neighbour. Spark's sorted shuffle files bring a task its cores one after the other, so a task holds one bounded collection at a time.
+5. Cores with more than KINDS contents, such as a passage in a third of all documents, are no collection that one task should hold: their windows are compared by hashes.
 
-All comparisons are counts by hash, with partial sums before the shuffle, so a passage in a third of all documents is no large group anywhere. Texts are shuffled once, to a table bucketed by doc_id, which later steps join without another shuffle.
+Comparisons before step 4 are counts by hash, with partial sums before the shuffle, and joins whose two sides are plain shuffles, which Spark splits where a key is hot. Texts are shuffled once, to a table bucketed by doc_id, which later steps join without another shuffle.
 
-Column-wise construction of the Burrows-Wheeler transform (bwt.py) has the same results; it takes a round for each byte of the longest text over all that is built so far, so it serves small collections and as a check.
+The transform of all whole texts at once would take a round over all that is built so far for each byte of the longest text; equal windows have equal anchors and cores, so transforms by core find the same.
 
 Cases: null or empty text: nothing to remove, the digest of the empty string. Texts under LENGTH bytes are kept whole. Windows that overlap themselves (runs of one letter) count. Repeated rows: each is a document, so both lose what they share; rows of one id are told apart by 15 bits of a hash of their texts. Very long texts: cut into pieces that overlap by LENGTH - 1 bytes. Empty table: empty result. Other columns are passed through by dedup_substrings(), whatever their names.
 """
@@ -22,13 +23,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .bwt import common_prefixes
 from .words import mixed
 
-LENGTH, GRAM, GROUP = 200, 32, 11
+LENGTH, GRAM, GROUP = 200, 32, 57
+#: Bytes that stand for a core, and what is left of a window then.
+CODE = 9
+SHORT = GROUP - 1 + CODE
+#: Contents of a core that may be one collection, and bytes of collections.
+KINDS, COLLECTION = 512, 100_000
 #: Bytes that are looked at together; places fit PLACE_BITS.
 PIECE, PLACE_BITS = 4 << 20, 26
 _BASE = 0x5851F42D4C957F2D | 1
@@ -130,46 +137,129 @@ def _joined(texts: list[bytes], places: list[np.ndarray]):
     return np.frombuffer(b"".join(kept), np.uint8), cat(start), cat(number), cat(base)
 
 
+def _fields(where: np.ndarray):
+    """Of places: the mark in its bits, first window, windows, offset."""
+    return where & ~np.int64((1 << 48) - 1), (where >> 16) & 0xFFFFFFFF, (where >> 8) & 0xFF, where & 0xFF
+
+
 def _cores(texts: list[bytes], places: list[np.ndarray]):
-    """For each run at `places`, its groups of windows: hash of the core, text's number, mark << 48 | first window << 8 | windows."""
+    """For each run at `places`, its groups of windows: hashes of the core and of all bytes, text's number, mark << 48 | first window << 16 | windows << 8 | core's offset in the first window."""
     data, where, number, base = _joined(texts, places)
     if not len(where):
-        return np.empty(0, np.uint64), number, where
-    s0, n, off = (where >> 16) & 0xFFFFFFFF, (where >> 8) & 0xFF, where & 0xFF
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), number, where
+    marks, s0, n, off = _fields(where)
     least = off - n + 1
     groups = off // GROUP - least // GROUP + 1
     row = np.repeat(np.arange(len(where)), groups)
     g = least[row] // GROUP + np.arange(len(row)) - np.repeat(np.cumsum(groups) - groups, groups)
     anchor = (s0 + off)[row]
     high, low = np.minimum(off[row], GROUP * g + GROUP - 1), np.maximum(least[row], GROUP * g)
-    start = base[row] + anchor - GROUP * g
-    core = Hashes(data).of(start, start + LENGTH - GROUP + 1, g + 1)
-    return core, number[row], (where[row] & ~np.int64((1 << 48) - 1)) | ((anchor - high) << 8) | (high - low + 1)
+    h, first, core = Hashes(data), anchor - high, anchor - GROUP * g
+    size, at = high - low + 1, base[row]
+    return h.of(at + core, at + core + LENGTH - GROUP + 1, g + 1), h.of(at + first, at + first + size - 1 + LENGTH, core - first + 1), number[row], marks[row] | (first << 16) | (size << 8) | (core - first)
 
 
 def _windows(texts: list[bytes], places: list[np.ndarray]):
-    """Each window of the groups at `places`: two hashes, text's number, mark << 48 | window."""
+    """Each window of the groups at `places`: two hashes, text's number, mark << 48 | window << 16 | 1 << 8."""
     data, where, number, base = _joined(texts, places)
     if not len(where):
         return np.empty(0, np.uint64), np.empty(0, np.uint64), number, where
-    first, n = (where >> 8) & 0xFFFFFFFFFF, where & 0xFF
+    marks, first, n, _ = _fields(where)
     row = np.repeat(np.arange(len(where)), n)
     p = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     h, start = Hashes(data), base[row] + p
-    return h.of(start, start + LENGTH), h.of(start, start + LENGTH // 2, 77), number[row], (where[row] & ~np.int64((1 << 48) - 1)) | p
+    return h.of(start, start + LENGTH), h.of(start, start + LENGTH // 2, 77), number[row], marks[row] | (p << 16) | (1 << 8)
 
 
-def _rows_of(table: DataFrame, lists: DataFrame, column: str, made, names: list[str]) -> DataFrame:
-    """Rows (names, doc_id, place) that `made` gives for texts of table and their list of places."""
+def _strings(texts: list[bytes], places: list[np.ndarray]):
+    """The groups at `places`: hash of the core, text's number, place, and the bytes with CODE bytes of 7 bits of that hash for the core."""
+    data, where, number, base = _joined(texts, places)
+    if not len(where):
+        return np.empty(0, np.uint64), number, where, []
+    _, first, n, offset = _fields(where)
+    core = base + first + offset
+    key = Hashes(data).of(core, core + LENGTH - GROUP + 1)
+    code = ((key[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(7))) & np.uint64(0x7F)).astype(np.uint8)
+    raw, found = data.tobytes(), []
+    for a, c, z, x in zip((base + first).tolist(), core.tolist(), (base + first + n - 1 + LENGTH).tolist(), code, strict=True):
+        found.append(raw[a:c] + x.tobytes() + raw[c + LENGTH - GROUP + 1 : z])
+    return key, number, where, found
+
+
+def _by_text(table: DataFrame, lists: DataFrame | None, columns: list[str], made, schema: str) -> DataFrame:
+    """The batches that `made` gives for texts of table and their lists of places, named by schema."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def go(batches):
         for batch in batches:
             for part in common.slices(batch, limit=PIECE):
-                *found, number, where = made([t.encode() for t in common.texts(part)], _lists(part, column))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in found), _ids(part, number), pa.array(where)], names=[*names, "doc_id", "place"])
+                for arrays in made(part, [t.encode() for t in common.texts(part)], *(_lists(part, c) for c in columns)):
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    rows = table if lists is None else table.select("doc_id", "text").join(lists.hint("merge"), "doc_id")
+    some = F.array_max(F.array(*(F.size(c) for c in columns))) > 0
+    return rows.select("doc_id", "text", *columns).filter(some).mapInArrow(go, schema)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _group_rows(part, texts, asked):
+    core, content, number, where = _cores(texts, asked)
+    yield [_signed(core), _signed(content), _ids(part, number), pa.array(where)]
+
+
+def _last_rows(part, texts, near, hot):
+    """Strings for collections, and windows for hashing, of which the other columns are null."""
+    core, number, where, found = _strings(texts, near)
+    none = pa.nulls(len(core), pa.int64())
+    yield [_signed(core), pa.array(found, pa.binary()), none, none, _ids(part, number), pa.array(where)]
+    h, g, number, where = _windows(texts, hot)
+    yield [pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary()), _signed(h), _signed(g), _ids(part, number), pa.array(where)]
+
+
+def in_collections(strings: DataFrame) -> DataFrame:
+    """(doc_id, place) of the stretches of windows that repeat among strings (core, bytes, doc_id, place); a core is never parted."""
+
+    def decide(rows: pa.Table):
+        rows = rows.combine_chunks()
+        core, where = rows.column("core").to_numpy(), rows.column("place").to_numpy()
+        found = rows.column("bytes").to_pylist()
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.append(np.flatnonzero(core[1:] != core[:-1]) + 1, len(core))
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        marks, first, n, _ = _fields(where)
+        at = 0
+        while at < len(core):
+            k = np.searchsorted(total[ends], total[at] + COLLECTION, "right")
+            end = int(ends[max(k - 1, np.searchsorted(ends, at, "right"))])
+            prefix = common_prefixes(np.frombuffer(b"".join(found[at:end]), np.uint8), lengths[at:end], SHORT)
+            start = total[at:end] - total[at]
+            row = np.repeat(np.arange(end - at), n[at:end])
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n[at:end]) - n[at:end], n[at:end])
+            hit = prefix[start[row] + step] >= SHORT
+            row, step = row[hit], step[hit]
+            if len(row):
+                fresh = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)]))
+                size = np.diff(np.append(fresh, len(row)))
+                row, step = row[fresh] + at, step[fresh]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)).combine_chunks(), pa.array(marks[row] | ((first[row] + step) << 16) | (size << 8))], names=["doc_id", "place"])
+            at = end
 
-    rows = table if lists is None else table.select("doc_id", "text").join(lists, "doc_id")
-    return rows.select("doc_id", "text", column).filter(F.size(column) > 0).mapInArrow(go, ", ".join(f"{n} long" for n in [*names, "doc_id", "place"]))
+    def go(batches):
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            core = held.column("core").to_numpy()
+            full = int(np.searchsorted(core, core[-1])) if len(core) else 0  # the last core may go on
+            if full >= 2048:
+                yield from decide(held.slice(0, full))
+                held = held.slice(full)
+        if held is not None and held.num_rows:
+            yield from decide(held)
+
+    return strings.repartition("core").sortWithinPartitions("core").mapInArrow(go, "doc_id long, place long")
 
 
 def _bucketed(df: DataFrame) -> DataFrame:
@@ -181,40 +271,52 @@ def _bucketed(df: DataFrame) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys), list(keys), "left_semi")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys)
+    # a table, so that the shuffle of rows of a hot key can be split
+    return rows.join(common.stored(counts, "repeated-keys").hint("merge"), list(keys), "left_semi")
+
+
+def _judged(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows (key, content, doc_id, place) with keys that come twice, and: n of their content, kinds of contents of their key, and whether the row is asked: its key has several kinds, and it is the content's witness."""
+    some = common.stored(_repeated(rows, key), name)
+    contents = common.stored(some.groupBy(key, "content").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "place")).alias("witness")), f"{name}-contents")
+    contents = contents.join(contents.groupBy(key).agg(F.count("*").alias("kinds")), key)
+    asked = (F.col("kinds") > 1) & (F.col("witness") == F.xxhash64("doc_id", "place"))
+    return some.join(contents.hint("merge"), [key, "content"]).select("doc_id", "place", "n", "kinds", asked.alias("asked"))
+
+
+def _list(column: str, when) -> Column:
+    return F.collect_list(F.when(when, F.col("place"))).alias(column)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _whole, _single): each row's runs and windows that repeat, as lists of places."""
+    """(doc_id, text, _whole, _more): the places of each row's stretches of windows that repeat, those of whole runs apart."""
     found = common.stored(all_runs(docs), "runs")
-    some = common.stored(_repeated(found, "gram"), "repeated-grams")
-    common.discard(found)
-    counted = contents = common.stored(some.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "place")).alias("witness")), "contents")
-    several = contents.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram", F.lit(True).alias("several"))
-    contents = contents.join(several, "gram", "left").withColumn("several", F.coalesce("several", F.lit(False)))
-    judged = some.join(contents, ["gram", "content"])
-    asked = F.col("several") & (F.col("witness") == F.xxhash64("doc_id", "place"))
-    lists = judged.groupBy("doc_id").agg(F.collect_list(F.when(F.col("n") > 1, F.col("place"))).alias("_whole"), F.collect_list(F.when(asked, F.col("place"))).alias("_asked"))
+    judged = _judged(found, "gram", "repeated-grams")
+    lists = judged.groupBy("doc_id").agg(_list("_whole", F.col("n") > 1), _list("_asked", F.col("asked")))
     table = _bucketed(docs.select("doc_id", "text").join(lists.hint("merge"), "doc_id", "left"))
-    common.discard(some, counted)
-    cores = common.stored(_rows_of(table, None, "_asked", _cores, ["core"]), "cores")
-    groups = _repeated(cores, "core").groupBy("doc_id").agg(F.collect_list("place").alias("_groups"))
-    windows = common.stored(_rows_of(table, groups.hint("merge"), "_groups", _windows, ["h", "g"]), "windows")
+    common.discard(found)
+    cores = common.stored(_by_text(table, None, ["_asked"], _group_rows, "core long, content long, doc_id long, place long"), "cores")
+    judged = common.stored(_judged(cores, "core", "repeated-cores"), "judged-cores")
+    few = F.col("kinds") <= KINDS
+    lists = judged.filter("asked").groupBy("doc_id").agg(_list("_near", few), _list("_hot", ~few))
+    last = common.stored(_by_text(table, lists, ["_near", "_hot"], _last_rows, "core long, bytes binary, h long, g long, doc_id long, place long"), "last")
     common.discard(cores)
-    single = _repeated(windows, "h", "g").groupBy("doc_id").agg(F.collect_list("place").alias("_single"))
-    return table.select("doc_id", "text", "_whole").join(single.hint("merge"), "doc_id", "left")
+    more = judged.filter("n > 1").select("doc_id", "place").unionByName(in_collections(last.filter("core is not null").select("core", "bytes", "doc_id", "place")))
+    more = more.unionByName(_repeated(last.filter("core is null").select("h", "g", "doc_id", "place"), "h", "g").select("doc_id", "place"))
+    more = more.groupBy("doc_id").agg(F.collect_list("place").alias("_more"))
+    return table.select("doc_id", "text", "_whole").join(more.hint("merge"), "doc_id", "left")
 
 
-def spans(text: bytes, whole: np.ndarray, single: np.ndarray) -> np.ndarray:
+def spans(text: bytes, *places: np.ndarray) -> np.ndarray:
     """Starts and ends of the maximal removed runs of bytes, as rows of two."""
-    m = mark(text)
-    whole, single = (x[(x >> 48) == m] if len(x) else x for x in (whole, single))
-    first = np.concatenate([(whole >> 16) & 0xFFFFFFFF, single & ((1 << 48) - 1)])
-    if not len(first):
+    where = np.concatenate(places)
+    where = where[(where >> 48) == mark(text)] if len(where) else where
+    if not len(where):
         return np.empty((0, 2), np.int64)
-    stop = first + np.concatenate([(whole >> 8) & 0xFF, np.ones(len(single), np.int64)]) + LENGTH - 1
+    _, first, n, _ = _fields(where)
     order = np.argsort(first, kind="stable")
-    first, stop = first[order], np.maximum.accumulate(stop[order])
+    first, stop = first[order], np.maximum.accumulate((first + n + LENGTH - 1)[order])
     apart = np.nonzero(first[1:] > stop[:-1])[0]
     return np.stack([first[np.concatenate([[0], apart + 1])], stop[np.concatenate([apart, [len(stop) - 1]])]], 1)
 
@@ -234,9 +336,9 @@ def removed(docs: DataFrame, keep: bool = False) -> DataFrame:
         for batch in batches:
             for part in common.slices(batch):
                 rows = []
-                for t, whole, single in zip(common.texts(part), _lists(part, "_whole"), _lists(part, "_single"), strict=True):
+                for t, whole, more in zip(common.texts(part), _lists(part, "_whole"), _lists(part, "_more"), strict=True):
                     t = t.encode()
-                    cut = spans(t, whole, single)
+                    cut = spans(t, whole, more)
                     left = _left(t, cut)
                     rows.append((len(t), len(t) - len(left), len(cut), hashlib.sha256(left).hexdigest(), *((left, cut.tolist()) if keep else ())))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64()))]

@@ -52,13 +52,30 @@ def test_a_passage_in_every_document(texts_frame):
     assert [got[10 + i] for i in range(len(texts))] == [w[1:3] for w in want]
 
 
-def test_long_texts_in_pieces(texts_frame, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "PIECE", 1000)
+@pytest.mark.parametrize(("name", "value"), [("KINDS", 3), ("COLLECTION", 300)])
+def test_hot_cores_and_small_collections(texts_frame, monkeypatch, name, value):
+    monkeypatch.setattr(substring_dedup, name, value)
+    texts = corpus(5)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in substring_dedup.removed(texts_frame(texts), keep=True).collect()}
+    assert [got[10 + i] for i in range(len(texts))] == [w[3] for w in brute(texts)]
+
+
+def windows(texts):
+    number, gram, _, where = substring_dedup.runs(texts)
+    out = []
+    for i, g, w in zip(number.tolist(), gram.tolist(), where.tolist(), strict=True):
+        first, n, offset = (w >> 16) & 0xFFFFFFFF, (w >> 8) & 0xFF, w & 0xFF
+        out += [(i, first + k, g, offset - k) for k in range(n)]
+    return sorted(out)
+
+
+def test_every_window_is_in_one_run(monkeypatch):
     rng = random.Random(6)
-    long = prose(rng, 2500)
-    texts = [long, prose(rng, 300) + long[3000:6000], prose(rng, 10)]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substring_dedup.removed(texts_frame(texts), keep=True).collect()}
-    assert [got[10 + i] for i in range(3)] == brute(texts)
+    texts = [prose(rng, 900).encode(), b"", b"q" * 450, prose(rng, 28).encode()[:199]]
+    whole = windows(texts)
+    assert [(i, p) for i, p, *_ in whole] == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - LENGTH + 1)]
+    monkeypatch.setattr(substring_dedup, "PIECE", 500)
+    assert windows(texts) == whole
 
 
 def test_query(spark, tables):
