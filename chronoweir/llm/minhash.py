@@ -3,11 +3,11 @@
 A sketch has t coordinates. In round i < t every shingle is hashed to a bin and a value, in round t + i all go to bin i; a bin keeps the least value of the first round that reaches it. So each coordinate is filled for certain, long documents need one round, and the share of equal coordinates of two sketches is concentrated about the similarity of their sets. Rows of coordinates form bands; documents with an equal band are candidates. The number of bands is such that a pair at the threshold is missed with a probability under MISS.
 
 1. Documents with equal sets fall together into one node, the smallest doc_id.
-2. Nodes with an equal band are joined to the band's smallest node, and the components of these candidate edges are made: every link lies inside one candidate component.
-3. Inside candidate components all links are confirmed on full sets, in blocks: a component of up to BLOCK nodes is one block; a larger one is dealt to blocks by hash, and pairs of blocks are compared, so no component is in one task. A block gives only a forest of its links, at most one row a node.
-4. The components of these are the result.
+2. Nodes with an equal band are candidates of each other. Each is compared first with its hub, the smallest node of all its bands, in blocks of up to BLOCK nodes and a hub: so near copies of one text are joined in linear time.
+3. Bands whose nodes are one component by now are done. The nodes of the others form clusters, whose links are confirmed on full sets in blocks too: a cluster of up to BLOCK nodes is one block; a larger one is dealt to blocks by hash, and pairs of blocks are compared, so no cluster is in one task. A block gives only a forest of its links, at most one row a node.
+4. The components of all links are the result.
 
-A large component's comparisons grow with the square of its number of different near copies (not of exact ones); they are matrix products inside blocks, never rows.
+Only step 3 takes time with the square of a cluster's nodes: those of different texts that are near the threshold, and yet not linked. They are matrix products inside blocks, never rows. Texts are shuffled once; those of candidates are then read from a table in the shared folder.
 
 Cases: null or empty text, or no words: an empty set, linked with nothing. Fewer words than a shingle: all words as one shingle. Repeated rows: equal sets, so one component. Ids are taken for unique apart from that: rows of one id with different texts are one node. Null ids: linked with nothing but rows of an equal set, and near_dedup() keeps them. Very long texts: whole sets, blocks are bounded by shingles too. Empty table: empty result. Other columns are passed through by near_dedup(), whatever their names.
 """
@@ -135,15 +135,8 @@ def linked(texts: list[str], left: np.ndarray, k: int, percent: int) -> np.ndarr
         label = new
 
 
-def confirmed(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b), enough to connect what is linked, of members (node, n, cluster) with the texts of docs (doc_id, text)."""
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n")
-    # texts are shuffled once at any size: a broadcast of the members would stop working as they grow
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(dealt.hint("merge"), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("cluster", "node", "text", "block", other)
-    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "text", "block")
+def _links(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b), enough to connect what is linked, in each group (cluster, i, j) of rows (node, text, block); with i < j only those between blocks i and j."""
 
     def run(group: pa.Table) -> pa.Table:
         node = np.array(group.column("node").to_numpy())
@@ -156,25 +149,59 @@ def confirmed(members: DataFrame, docs: DataFrame, k: int, percent: int) -> Data
         some = label != np.arange(len(node))
         return pa.table({"a": node[some], "b": node[label[some]]})
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.select("cluster", "i", "j", "node", "text", "block").groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _dealt(texts: DataFrame, cluster: str) -> tuple[DataFrame, DataFrame]:
+    """texts (node, text, n, cluster) with blocks, the number of blocks of the cluster, and block; and the numbers by cluster."""
+    # a table, so that the join's shuffle can split a cluster
+    sizes = common.stored(texts.groupBy(cluster).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "blocks")
+    return texts.join(sizes, cluster).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), sizes
+
+
+def near_hubs(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of texts (node, text, n, hub) in blocks of one hub, the hub's text being in each."""
+    dealt, sizes = _dealt(texts, "hub")
+    hubs = texts.select(F.col("node").alias("hub"), "node", "text").join(sizes, "hub").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("hub", "node", "text", "block").unionByName(hubs.select("hub", "node", "text", "block"))
+    return _links(rows.select(F.col("hub").alias("cluster"), F.col("block").alias("i"), F.col("block").alias("j"), "node", "text", "block"), k, percent)
+
+
+def confirmed(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of texts (node, text, n, cluster), each pair of a cluster's blocks compared."""
+    dealt, _ = _dealt(texts, "cluster")
+    rows = dealt.select("cluster", "node", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return _links(rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "text", "block"), k, percent)
+
+
+def _whole(found: DataFrame) -> DataFrame:
+    """components() with the least nodes too."""
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     made = common.stored(sketched(docs, k, percent), "sketches")
     full = made.filter("n_shingles > 0")
-    nodes = full.groupBy("_a", "_b").agg(F.min("doc_id").alias("node"))
+    nodes = common.stored(full.groupBy("_a", "_b").agg(F.min("doc_id").alias("node")), "least")
     membership = common.stored(full.drop("_bands").join(nodes, ["_a", "_b"]).drop("_a", "_b"), "nodes")
     own = membership.filter("doc_id = node").select("node", F.col("n_shingles").alias("n")).distinct()
     banded = full.join(own.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.explode("_bands").alias("band"))
     banded = common.stored(banded, "bands")
     shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("band", "first")
-    candidates = banded.join(shared, "band").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    clusters = components(candidates)
-    clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "cluster")
-    members = common.stored(own.join(clusters, "node"), "clusters")
-    links = components(confirmed(members, docs.select("doc_id", "text"), k, percent))
-    found = membership.join(links, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    shared = common.stored(banded.join(common.stored(shared, "first-of-bands"), "band"), "shared-bands")
+    members = own.join(shared.groupBy("node").agg(F.min("first").alias("hub")), "node")
+    # texts are shuffled once at any size: a broadcast of the members would stop working as they grow
+    texts = common.stored(docs.select(F.col("doc_id").alias("node"), "text").join(members.hint("merge"), "node"), "candidates")
+    links = common.stored(near_hubs(texts, k, percent), "links")
+    joined = _whole(components(links))
+    now = shared.join(joined, "node", "left").select("node", "band", F.coalesce("component", "node").alias("now"))
+    open_ = now.groupBy("band").agg(F.min("now").alias("_x"), F.max("now").alias("_y"), F.min("node").alias("least")).filter("_x < _y").select("band", "least")
+    open_ = common.stored(open_, "open-bands")
+    clusters = _whole(components(shared.join(open_, "band").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    rest = confirmed(texts.join(clusters.withColumnRenamed("component", "cluster"), "node"), k, percent)
+    found = components(links.unionByName(rest))
+    found = membership.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return found.unionByName(made.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
