@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_CHARS = 10
-FANOUT = 4
-BATCHES = 3
+FANOUT = 2
+BATCHES = 4
 _KEY = ["_h1", "_h2"]
 
 
