@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Parts that an unpartitioned series is cut into for finding positions.
-CUTS = 64
+#: Parts that an unpartitioned series is cut into for finding positions, at least and at most; between them twice the shuffle partitions.
+CUTS, MOST_CUTS = 64, 4096
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -32,6 +32,19 @@ def micros(df: DataFrame, column: str) -> Column:
     raise TypeError(f"Column '{column}' is neither a time nor an integer")
 
 
+def below(cuts: Sequence[int], value: Column, width: int = 64) -> Column:
+    """How many of the ascending cuts are less than a value: a search in two steps, so that thousands of cuts cost some hundred comparisons."""
+    if not cuts:
+        return F.lit(0)
+    groups = [list(cuts[i : i + width]) for i in range(0, len(cuts), width)]
+    lesser = lambda of: F.array_size(F.filter(of, lambda c: c < value))
+    if len(groups) == 1:
+        return lesser(F.array(*map(F.lit, groups[0])))
+    # groups whose first cut is below the value; the last of them may have cuts that aren't
+    full = F.greatest(lesser(F.array(*(F.lit(g[0]) for g in groups))) - 1, F.lit(0))
+    return full * width + lesser(F.get(F.array(*(F.array(*map(F.lit, g)) for g in groups)), full))
+
+
 @dataclass(frozen=True)
 class SeriesSpec:
     """time_col and tie_breakers order the rows of each series; partition_cols tell series apart, and without them the frame is one series."""
@@ -63,11 +76,12 @@ class SeriesSpec:
         if self.partition_cols:
             return df.withColumn(name, F.row_number().over(self.window()).cast("long") - 1)
         t = micros(df, self.time_col)
-        shares = ", ".join(str(i / CUTS) for i in range(1, CUTS))
-        cuts = sorted(set(df.select(t.alias("t")).agg(F.expr(f"percentile_approx(t, array({shares}), 10000)")).first()[0] or []))
-        part = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < t)), F.lit(0)) if cuts else F.lit(0)
+        n = min(MOST_CUTS, max(CUTS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        shares = ", ".join(str(i / n) for i in range(1, n))
+        cuts = sorted(set(df.select(t.alias("t")).agg(F.expr(f"percentile_approx(t, array({shares}), 100000)")).first()[0] or []))
+        part = F.coalesce(below(cuts, t), F.lit(0))
         df = df.withColumn("_part", part)
-        # one row for each of at most CUTS parts
+        # one row for each of at most MOST_CUTS parts
         sizes = df.groupBy("_part").count()
         before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         sizes = F.broadcast(sizes.select("_part", before.alias("_before")))

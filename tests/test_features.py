@@ -100,3 +100,24 @@ def test_row_slice(spark):
     df = from_list(spark, [float(i) for i in range(10)])
     assert to_list(features.row_slice(df, SPEC, 3, 4), "value") == [3.0, 4.0, 5.0, 6.0]
     assert to_list(features.row_slice(df, SPEC, 8), "value") == [8.0, 9.0]
+
+
+def test_search_in_two_steps(spark):
+    from bisect import bisect_left
+
+    from pyspark.sql import functions as F
+
+    from chronoweir.operators.spec import below
+
+    for cuts in ([], [5], list(range(0, 900, 7)), list(range(-64, 64))):
+        rows = spark.range(-70, 910).select("id", F.coalesce(below(cuts, F.col("id")), F.lit(0)).alias("n")).collect()
+        assert all(r["n"] == bisect_left(cuts, r["id"]) for r in rows)
+
+
+def test_positions_with_many_parts(spark, monkeypatch):
+    from chronoweir.operators import spec as module
+
+    monkeypatch.setattr(module, "CUTS", 200)
+    rows = spark.range(3000).selectExpr("id * 37 % 1009 AS t", "id AS k").repartition(5)
+    got = module.SeriesSpec("t", (), ["k"]).indexed(rows, "i").orderBy("t", "k").collect()
+    assert [r["i"] for r in got] == list(range(3000))
