@@ -19,4 +19,5 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op10_minhash": minhash.OP10_SQL,
 }

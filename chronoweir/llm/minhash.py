@@ -216,3 +216,26 @@ def op10_minhash(spark, sf_dir: str) -> DataFrame:
     """Every document's number of shingles and component, with shingles of 3 words and a similarity of 85 % or more."""
     found = classes(common.table(spark, sf_dir, "documents"), 3, 85)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id > b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)
+), both_ AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT x, y AS least FROM both_ UNION SELECT both_.x, r.least FROM both_ JOIN r ON both_.y = r.x
+), c AS (
+  SELECT x, min(least) AS least FROM r GROUP BY x
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.least, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id
+"""
