@@ -35,20 +35,52 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Folders and tables written in this process, for sweep().
+_WRITTEN: list[tuple[str, str]] = []
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(("folder", path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: it is computed once, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """df as a table in the warehouse, bucketed by a column: joins on that column read it without a shuffle."""
+    spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    _WRITTEN.append(("table", table_name))
+    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of stored() tables that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession._jvm
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            at = jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(df.sparkSession, folder)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that this process has stored; for when the results that read it have been written."""
+    while _WRITTEN:
+        kind, name = _WRITTEN.pop()
+        if kind == "folder":
+            _delete(spark, name)
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def hashes(*columns: Column) -> tuple[Column, Column]:

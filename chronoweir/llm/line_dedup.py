@@ -9,8 +9,6 @@ Cases: null or empty text: one empty line, which stays. Repeated rows or ids: ro
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +38,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
-        self.root = f"{common.shared_dir(spark)}/line-runs-{uuid.uuid4().hex}"
+        self.root = common.fresh_path(spark, "line-runs")
         self.schema = "_h1 long, _h2 long, _first long"
         self.written = 0
 

@@ -18,7 +18,6 @@ Cases: null or empty text: nothing to remove, the digest of the empty string. Te
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 
 import numpy as np
@@ -262,14 +261,6 @@ def in_collections(strings: DataFrame) -> DataFrame:
     return strings.repartition("core").sortWithinPartitions("core").mapInArrow(go, "doc_id long, place long")
 
 
-def _bucketed(df: DataFrame) -> DataFrame:
-    """df as a table bucketed by doc_id in the warehouse: joins on doc_id read it without a shuffle."""
-    spark, name = df.sparkSession, f"substring_texts_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").bucketBy(n, "doc_id").saveAsTable(name)
-    return spark.table(name)
-
-
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys)
     # a table, so that the shuffle of rows of a hot key can be split
@@ -294,7 +285,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = common.stored(all_runs(docs), "runs")
     judged = _judged(found, "gram", "repeated-grams")
     lists = judged.groupBy("doc_id").agg(_list("_whole", F.col("n") > 1), _list("_asked", F.col("asked")))
-    table = _bucketed(docs.select("doc_id", "text").join(lists.hint("merge"), "doc_id", "left"))
+    table = common.bucketed(docs.select("doc_id", "text").join(lists.hint("merge"), "doc_id", "left"), "substring_texts", "doc_id")
     common.discard(found)
     cores = common.stored(_by_text(table, None, ["_asked"], _group_rows, "core long, content long, doc_id long, place long"), "cores")
     judged = common.stored(_judged(cores, "core", "repeated-cores"), "judged-cores")

@@ -60,3 +60,19 @@ def test_digest(spark, tables):
     want = {i: hashlib.sha256(t.encode()).hexdigest() for i, *_, t in brute([(r[0], r[1]) for r in rows if r[0] is not None])}
     got = {r["doc_id"]: r["kept_sha256"] for r in line_dedup.op4_line_dedup(spark, at).collect()}
     assert {k: v for k, v in got.items() if k is not None} == want
+
+
+def test_sweep(spark, frame):
+    from pathlib import Path
+
+    from chronoweir.llm import common
+
+    common._WRITTEN.clear()
+    rows = [(i, "the same line in all\nown line of %d" % i, "en", "s", 0) for i in range(9)]
+    line_dedup.dedup_lines(frame(rows)).collect()
+    name = common.bucketed(spark.range(5), "swept", "id").inputFiles()[0]
+    places = [Path(p.removeprefix("file://").removeprefix("file:")) for kind, p in common._WRITTEN if kind == "folder"]
+    assert places and all(p.exists() for p in places)
+    common.sweep(spark)
+    assert not any(p.exists() for p in places)
+    assert not Path(name.removeprefix("file://").removeprefix("file:")).exists()
