@@ -97,8 +97,9 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES,
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with the struct _lines (n_lines, n_dropped, text), text being what is left."""
-    gone = dropped(docs.select("doc_id", "text"), min_chars, batches, fanout).distinct()
-    gone = gone.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_list("_pos")).alias("_gone"))
+    gone = dropped(docs.select("doc_id", "text"), min_chars, batches, fanout)
+    # a set, as repeated rows give the same places
+    gone = gone.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.xxhash64("text").alias("_t"), "text")
     rows = rows.join(gone, ["doc_id", "_t"], "left")
     # the kept lines between one dropped place and the next, so that long documents take linear time
