@@ -36,7 +36,7 @@ SHORT = GROUP - 1 + CODE
 #: Contents of a core that may be one collection, and bytes of collections.
 KINDS, COLLECTION = 512, 100_000
 #: Bytes that are looked at together; places fit PLACE_BITS.
-PIECE, PLACE_BITS = 4 << 20, 26
+PIECE, PLACE_BITS = 2 << 20, 26
 _BASE = 0x5851F42D4C957F2D | 1
 _TOP = np.uint64(2**64 - 1)
 _TABLES = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -258,7 +258,9 @@ def in_collections(strings: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield from decide(held)
 
-    return strings.repartition("core").sortWithinPartitions("core").mapInArrow(go, "doc_id long, place long")
+    # a number of partitions, as time and not size is what a partition takes
+    n = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return strings.repartition(n, "core").sortWithinPartitions("core").mapInArrow(go, "doc_id long, place long")
 
 
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
@@ -271,7 +273,7 @@ def _judged(rows: DataFrame, key: str, name: str) -> DataFrame:
     """Rows (key, content, doc_id, place) with keys that come twice, and: n of their content, kinds of contents of their key, and whether the row is asked: its key has several kinds, and it is the content's witness."""
     some = common.stored(_repeated(rows, key), name)
     contents = common.stored(some.groupBy(key, "content").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "place")).alias("witness")), f"{name}-contents")
-    contents = contents.join(contents.groupBy(key).agg(F.count("*").alias("kinds")), key)
+    contents = contents.join(common.stored(contents.groupBy(key).agg(F.count("*").alias("kinds")), f"{name}-kinds").hint("merge"), key)
     asked = (F.col("kinds") > 1) & (F.col("witness") == F.xxhash64("doc_id", "place"))
     return some.join(contents.hint("merge"), [key, "content"]).select("doc_id", "place", "n", "kinds", asked.alias("asked"))
 
