@@ -4,7 +4,7 @@ Labels are given for documents only, so words get theirs first: a feature (the w
 
 Training uses at most MAX_TOXIC toxic and MAX_CLEAN clean labelled documents, those with the least hashes of their ids; nothing else is bounded. Scores come from texts alone.
 
-Cases: null or empty text: scored like a text without any toxic word. Documents without labels are scored, not trained on; labels without a document are ignored; null labels are ignored. No labelled document, or only one class: every score is 0. Very long texts are scored whole. Repeated rows are scored each. Empty table: empty result. Other columns are passed through by score(), whatever their names, if they aren't called score or spans.
+Cases: null or empty text: scored like a text without any toxic word. Documents without labels are scored, not trained on; labels without a document are ignored; null labels are ignored. No labelled document, only one class, or no word that tells them apart: every score is 0. Very long texts are scored whole. Repeated rows are scored each. Empty table: empty result. Other columns are passed through by score(), whatever their names, if they aren't called score or spans.
 """
 
 from __future__ import annotations
@@ -189,6 +189,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     memo: dict[str, list[str]] = {}
     known = lambda w: memo.get(w) or memo.setdefault(w, features(w))
     marked = _marked(split, y, known)
+    if not marked:
+        return Model()
     stretches: list[tuple[list[str], list[int]]] = []
     for i, (words, t) in enumerate(zip(split, y.tolist(), strict=True)):
         hit, done = [k for k, w in enumerate(words) if w in marked], -1
@@ -332,7 +334,8 @@ def trained(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_
         yield pa.RecordBatch.from_arrays([pa.array([fit([r[1] for r in rows], [r[2] for r in rows]).to_json()])], names=["model"])
 
     sample = training_sample(docs, labels, max_toxic, max_clean)
-    return Model.from_json(sample.repartition(1).mapInArrow(run, "model string").first()[0])
+    learned = sample.repartition(1).mapInArrow(run, "model string").first()
+    return Model.from_json(learned[0]) if learned else Model()
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
