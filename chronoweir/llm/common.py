@@ -99,7 +99,7 @@ def size_class(size: Column, digits: int = 4) -> Column:
     return (bits * (1 << digits) + F.call_function("shiftright", size + 1, F.greatest(bits - digits, F.lit(0))).cast("int")).cast("int")
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20):
     """Parts of an Arrow batch with about limit bytes in a column, at least one row each."""
     n, start, total = batch.num_rows, 0, 0
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
