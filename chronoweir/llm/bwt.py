@@ -1,6 +1,6 @@
 """Column-wise construction of a collection's Burrows-Wheeler transform and common prefixes.
 
-Round j inserts, for each string that has j bytes or more, its suffix of j bytes: one symbol a string. The suffix starts with the byte that stands in the transform beside the string's last inserted suffix, so its place is the rank of that byte among its equals up to there. Its common prefix with the neighbour before is one more than the least common prefix between the two places that hold this byte, and so is that of the neighbour behind it. All places are taken in one sequential pass over the transform as it stands, which is then written anew with the round's symbols in it.
+Round j inserts, for each string that has j symbols or more, its suffix of j symbols: one symbol a string. The suffix starts with the symbol that stands in the transform beside the string's last inserted suffix, so its place is the rank of that symbol among its equals up to there. Its common prefix with the neighbour before is one more than the least common prefix between the two places that hold this symbol, and so is that of the neighbour behind it. All places are taken in one sequential pass over the transform as it stands, which is then written anew with the round's symbols in it.
 
 Strings are in order of nothing: equal suffixes of different strings stand as the strings do.
 """
@@ -9,51 +9,97 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Bytes of a symbol where stretches of bytes are compared at all their places, and where the four eights of bytes begin that have them all.
+WORD, EIGHTS = 25, (0, 8, 16, 17)
+#: Symbols that a collection may have, so that their ranks have 16 bits.
+MOST = 65_535
 
-def common_prefixes(data: np.ndarray, lengths: np.ndarray, cap: int) -> np.ndarray:
-    """For each byte of strings laid end to end, the longest prefix, up to cap (under 256), that the string from there on has in common with one that starts at any other place. Bytes are below 255."""
-    m = len(lengths)
-    out = np.zeros(len(data), np.uint8)
-    if not len(data):
-        return out
-    ends, starts = np.cumsum(lengths), np.cumsum(lengths) - lengths
-    # The transform: the symbol before each suffix (0 before a whole string, else byte + 1), its common prefix with the one above, and its place in data. The m empty suffixes stand first.
-    symbol = np.where(lengths > 0, data[np.maximum(ends - 1, 0)] + np.uint8(1), 0).astype(np.uint8)
-    prefix, place = np.zeros(m, np.uint8), np.zeros(m, np.int32)
-    last, of = np.arange(m), np.arange(m)  # where each string's last suffix stands, and which string's it is
-    last, of = last[symbol > 0], of[symbol > 0]
-    for j in range(1, int(lengths.max()) + 1):
-        order = np.argsort(symbol, kind="stable")[np.count_nonzero(symbol == 0) :]
+
+def transform(before: np.ndarray, ends: np.ndarray, step: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of strings in sorted order, as places in `before`, and the common prefix of each with the one above, up to cap (under 256).
+
+    Symbols stand at places; before[p] is the one at p - step, the symbol before p in its string, or 0 where p is the string's first. `ends` has for each string the place behind its last symbol.
+    """
+    m = len(ends)
+    symbol, prefix, place = before[ends], np.zeros(m, np.uint8), ends.astype(np.int32)
+    last = np.arange(m)[symbol > 0]  # where each string's last suffix stands
+    while len(last):
+        order = np.argsort(symbol, kind="stable")[len(symbol) - np.count_nonzero(symbol) :]
         is_last = np.zeros(len(symbol), bool)
         is_last[last] = True
         fresh = is_last[order]
         at = np.flatnonzero(fresh)
-        string = np.empty(len(symbol), np.int32)
-        string[last] = of
-        of = string[order[at]]
-        # common prefixes change at the fresh places and behind them; where two neighbours start with different bytes they are 0
-        both = np.zeros(len(order) + 1, bool)
-        both[at] = both[at + 1] = True
-        both[0] = both[-1] = False
-        changed = np.flatnonzero(both)
+        # common prefixes change at the fresh places and behind them; where two neighbours start with different symbols they are 0
+        changed = np.zeros(len(order) + 1, bool)
+        changed[at] = changed[at + 1] = True
+        changed[0] = changed[-1] = False
+        changed = np.flatnonzero(changed)
         above, here = order[changed - 1], order[changed]
         value = np.zeros(len(changed), np.uint8)
         same = np.flatnonzero(symbol[above] == symbol[here])
         if len(same):
-            between = np.stack([above[same] + 1, here[same] + 1], 1).ravel()
-            value[same] = np.minimum(np.minimum.reduceat(np.append(prefix, np.uint8(0)), between)[::2], cap - 1) + np.uint8(1)
-        begin = ends[of] - j
-        before = np.where(begin > starts[of], data[np.maximum(begin - 1, 0)] + np.uint8(1), 0).astype(np.uint8)
-        old = ~fresh
-        grown = [np.empty(m + len(order), x.dtype) for x in (symbol, prefix, place)]
-        for new, was in zip(grown, (symbol, prefix, place), strict=True):
-            new[:m] = was[:m]
-            new[m:][old] = was[m:]
-        symbol, prefix, place = grown
-        at = at + m
-        symbol[at], place[at], prefix[at] = before, begin, 0
-        prefix[changed + m] = value
-        more = before > 0
-        last, of = at[more], of[more]
-    out[place[m:]] = np.maximum(prefix, np.append(prefix[1:], np.uint8(0)))[m:]
-    return out
+            value[same] = 1
+            apart = np.cumsum(prefix == 0, dtype=np.int32)
+            same = same[apart[above[same]] == apart[here[same]]]  # else a common prefix of 0 lies between
+            if len(same):
+                between = np.stack([above[same] + 1, here[same] + 1], 1).ravel()
+                value[same] = np.minimum(np.minimum.reduceat(np.append(prefix, np.uint8(0)), between)[::2], cap - 1) + np.uint8(1)
+        grown = np.zeros(m + len(order), np.uint8)
+        grown[m:][~fresh] = prefix[m:]
+        grown[changed + m] = value
+        grown[at[at == 0] + m] = 0
+        prefix = grown
+        place = np.concatenate([place[:m], place[order] - np.int32(step)])
+        symbol = before[place]
+        symbol[:m] = before[ends]
+        last = at[symbol[at + m] > 0] + m
+    return place[m:], prefix[m:]
+
+
+def numbered(data: np.ndarray) -> np.ndarray:
+    """A number from 1 on for the word of WORD bytes at each place; equal words, and only they, have equal numbers."""
+    eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).ravel()
+    eights = np.unique(eights, return_inverse=True)[1].astype(np.uint64)
+    key, n = np.zeros(len(data) - WORD + 1, np.uint64), len(data) - WORD + 1
+    for k, at in enumerate(EIGHTS):
+        key |= eights[at : at + n] << np.uint64(16 * k)
+    return np.unique(key, return_inverse=True)[1].astype(np.uint16) + np.uint16(1)
+
+
+def repeated(data: np.ndarray, lengths: np.ndarray, owner: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """For the windows of `width` bytes of stretches laid end to end in data (each has at least one window), stretch after stretch, whether such a window also starts at another place. owner and place say where each stretch comes from: windows of one owner at one place are the same window, even if they stand in data twice.
+
+    A stretch makes WORD strings, one for each remainder of a place by WORD, whose symbols are the words of WORD bytes at every WORD-th place; so a window is width / WORD whole symbols, and a round inserts WORD bytes of every string. There may be MOST places.
+    """
+    starts = np.cumsum(lengths) - lengths
+    total = int(lengths.sum())
+    number = numbered(data)  # those of words across stretches stand before no place that counts
+    inside = np.arange(total) - np.repeat(starts, lengths)
+    before = np.zeros(total + WORD, np.uint16)
+    before[WORD : WORD + len(number)] = number
+    before[:total][inside < WORD] = 0
+    # the last words end with the stretch: strings end at the WORD places from there, which may be the first ones of the next stretch
+    stops = (starts + lengths)[:, None] + np.arange(1 - WORD, 1)[None, :]
+    shift = np.repeat(np.arange(len(lengths)) * WORD, lengths)
+    # room for WORD places behind each stretch
+    wide = np.zeros(total + WORD * len(lengths) + 1, np.uint16)
+    wide[np.arange(total) + shift] = before[:total]
+    ends = stops + (np.arange(len(lengths)) * WORD)[:, None]
+    tail = starts[:, None] + lengths[:, None] + np.arange(1 - WORD, 1)[None, :] - WORD
+    wide[ends] = number[tail]
+    at, prefix = transform(wide, ends.ravel(), WORD, width // WORD)
+    which = np.repeat(np.arange(len(lengths)), lengths)
+    back = np.full(len(wide), -1, np.int64)
+    back[np.arange(total) + shift] = np.arange(total)
+    fresh = np.flatnonzero(np.concatenate([[True], prefix[1:] < width // WORD])) if len(at) else np.empty(0, np.int64)
+    size = np.diff(np.append(fresh, len(at)))
+    fresh, size = fresh[size > 1], size[size > 1]
+    rows = np.repeat(fresh - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    found = back[at[rows]]
+    who = (owner[which[found]].astype(np.int64) << 40) | (place[which[found]] + inside[found])
+    group = np.cumsum(size) - size
+    out = np.zeros(total, bool)
+    if len(group):
+        several = np.minimum.reduceat(who, group) != np.maximum.reduceat(who, group)
+        out[found[np.repeat(several, size)]] = True
+    return out[inside <= np.repeat(lengths, lengths) - width]

@@ -54,10 +54,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-    """df as a table in the warehouse, bucketed by a column: joins on that column read it without a shuffle."""
+    """df as a table with its files in the shared folder, bucketed by a column: joins on that column read it without a shuffle."""
     spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     _WRITTEN.append(("table", table_name))
-    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(table_name)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(table_name)
     return spark.table(table_name)
 
 

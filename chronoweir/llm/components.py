@@ -18,9 +18,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # tables, so that the shuffle of a hub's edges can be split
+        least = common.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least-neighbours")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = common.stored(large, "large-stars")
+        least = common.stored(large.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
         ends = F.when(F.col("v") == F.col("m"), F.array("u")).otherwise(F.array("u", "v"))
         small = large.join(least, "u").select(F.explode(ends).alias("u"), F.col("m").alias("v")).distinct()
         now = common.stored(small, "edges")

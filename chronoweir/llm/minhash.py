@@ -2,28 +2,29 @@
 
 A sketch has t coordinates. In round i < t every shingle is hashed to a bin and a value, in round t + i all go to bin i; a bin keeps the least value of the first round that reaches it. So each coordinate is filled for certain, long documents need one round, and the share of equal coordinates of two sketches is concentrated about the similarity of their sets. Rows of coordinates form bands; documents with an equal band are candidates. The number of bands is such that a pair at the threshold is missed with a probability under MISS.
 
-1. Documents with equal sets fall together into one node, the smallest doc_id.
+1. Documents with the same words (told apart by SHA-256 of the lower-cased words) are one node. Nodes are numbered in the order of their smallest doc_id, null last.
 2. Nodes with an equal band are candidates of each other. Each is compared first with its hub, the smallest node of all its bands, in blocks of up to BLOCK nodes and a hub: so near copies of one text are joined in linear time.
-3. Bands whose nodes are one component by now are done. The nodes of the others form clusters, whose links are confirmed on full sets in blocks too: a cluster of up to BLOCK nodes is one block; a larger one is dealt to blocks by hash, and pairs of blocks are compared, so no cluster is in one task. A block gives only a forest of its links, at most one row a node.
+3. Bands whose nodes are one component by now are done. Links among the nodes of the others are confirmed band by band (once for bands with the same nodes): a band of up to BLOCK nodes is one block; a larger one is dealt to blocks by hash, and pairs of blocks are compared, so no band is in one task. A block gives only a forest of its links, at most one row a node.
 4. The components of all links are the result.
 
-Only step 3 takes time with the square of a cluster's nodes: those of different texts that are near the threshold, and yet not linked. They are matrix products inside blocks, never rows. Texts are shuffled once; those of candidates are then read from a table in the shared folder.
+Links are confirmed on full sets of shingles of real words, which are numbered in each batch of blocks by comparing their bytes. Only step 3 takes time with the square of a band's nodes: those of different texts that are near the threshold, and yet not all linked. They are matrix products inside blocks, never rows. Texts are shuffled once; those of candidates are then read from a table in the shared folder.
 
-Cases: null or empty text, or no words: an empty set, linked with nothing. Fewer words than a shingle: all words as one shingle. Repeated rows: equal sets, so one component. Ids are taken for unique apart from that: rows of one id with different texts are one node. Null ids: linked with nothing but rows of an equal set, and near_dedup() keeps them. Very long texts: whole sets, blocks are bounded by shingles too. Empty table: empty result. Other columns are passed through by near_dedup(), whatever their names.
+Cases: null or empty text, or no words: an empty set, linked with nothing. Fewer words than a shingle: all words as one shingle. Repeated rows: equal sets, so one component. Rows of one id with different texts are different nodes. Null ids: linked like others; a component's id is its smallest doc_id, null if it has none. Very long texts: whole sets, blocks are bounded by shingles too. Empty table: empty result. near_dedup() passes other columns through, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .words import mixed, shingle_numbers, word_numbers
+from .words import exact_shingles, exact_words, mixed, shingle_numbers, word_numbers
 
 MISS = 1e-8
 #: Nodes, and shingles on average, that a block may have.
@@ -79,31 +80,44 @@ def bands(sketch: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+_TO_LOWER = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
+
+
+def text_digest(text: str = "text"):
+    """What sketched() has for a text in _t."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
 def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, _a, _b, _bands) of docs (doc_id, text): the size and two hashes of the set, and its bands (none for empty sets)."""
+    """(doc_id, _t, n_shingles, _words, _bands) of docs (doc_id, text): digests of the text and of its words in lower case, the size of the set, and its bands (none for empty sets)."""
     number, rows = banding(percent)
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch):
-                value, counts = sets(common.texts(part), k)
-                ends = np.cumsum(counts)
-                with np.errstate(over="ignore"):
-                    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(value ^ np.uint64(s)), dtype=np.uint64)]) for s in (11, 0xABCDEF0123456789)]
-                    a, b = (s[ends] - s[ends - counts] for s in sums)
+                texts = common.texts(part)
+                raw = [t.encode() for t in texts]
+                value, counts = sets(texts, k)
                 found = bands(sketches(value, counts, number * rows), rows)[counts > 0]
                 offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, number, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel().view(np.int64)))
-                columns = [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "_a", "_b", "_bands"])
+                digests = [[hashlib.sha256(x).digest() for x in y] for y in (raw, (b" ".join(t.translate(_TO_LOWER).split()) for t in raw))]
+                columns = [part.column("doc_id"), pa.array(digests[0], pa.binary()), pa.array(counts.astype(np.int64)), pa.array(digests[1], pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_t", "n_shingles", "_words", "_bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, _t binary, n_shingles long, _words binary, _bands array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, _a long, _b long, _bands array<long>")
+def exact_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text as numbers that are equal for equal shingles and only for them, and how many each has."""
+    value, n = exact_shingles(*exact_words([t.encode() for t in texts], lower=True), k)
+    key = np.unique((np.repeat(np.arange(len(texts), dtype=np.uint64), n) << np.uint64(32)) | value)
+    return key & np.uint64(0xFFFFFFFF), np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(texts))
 
 
-def linked(texts: list[str], left: np.ndarray, k: int, percent: int) -> np.ndarray:
-    """The smallest place in each text's component of links, in a block; with left (booleans), only links between one side and the other count, if there are both."""
-    value, counts = sets(texts, k)
-    n = len(texts)
+def linked(value: np.ndarray, counts: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest place in each text's component of links, in a block of texts with such sets; with left (booleans), only links between one side and the other count, if there are both."""
+    n = len(counts)
     doc = np.repeat(np.arange(n), counts)
     order = np.argsort(value, kind="stable")
     value, doc = value[order], doc[order]
@@ -137,19 +151,47 @@ def linked(texts: list[str], left: np.ndarray, k: int, percent: int) -> np.ndarr
 
 def _links(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b), enough to connect what is linked, in each group (cluster, i, j) of rows (node, text, block); with i < j only those between blocks i and j."""
+    by = ["cluster", "i", "j"]
+
+    def groups(table: pa.Table):
+        """Links in whole groups."""
+        node, block, *key = (table.column(c).to_numpy() for c in ("node", "block", *by))
+        value, counts = exact_sets([x or "" for x in table.column("text").to_pylist()], k)
+        ends = np.cumsum(counts)
+        a, b = [], []
+        for x, y in zip(*_bounds(key), strict=True):
+            left = block[x:y] == key[1][x] if key[1][x] != key[2][x] else np.zeros(y - x, bool)
+            label = linked(value[ends[x] - counts[x] : ends[y - 1]], counts[x:y], left, percent)
+            some = np.flatnonzero(label != np.arange(y - x))
+            a.append(node[x:y][some]), b.append(node[x:y][label[some]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (a, b)], names=["a", "b"])
 
-    def run(group: pa.Table) -> pa.Table:
-        node = np.array(group.column("node").to_numpy())
-        order = np.argsort(node, kind="stable")
-        block = group.column("block").to_numpy()[order]
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        texts = [x or "" for x in group.column("text").take(pa.array(order)).to_pylist()]
-        node = node[order]
-        label = linked(texts, block == i if i != j else np.zeros(len(node), bool), k, percent)
-        some = label != np.arange(len(node))
-        return pa.table({"a": node[some], "b": node[label[some]]})
-
-    return rows.select("cluster", "i", "j", "node", "text", "block").groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(x.nbytes for x in held) > 2 << 20:
+                table = pa.Table.from_batches(held)
+                start = int(_bounds([table.column(c).to_numpy() for c in by])[0][-1])  # the last group may go on
+                if start:
+                    yield groups(table.slice(0, start))
+                    held = table.slice(start).combine_chunks().to_batches()
+        if held:
+            yield groups(pa.Table.from_batches(held))
+
+    # a number of partitions, as time and not size is what a partition takes
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*by, "node", "text", "block").repartition(n, *by).sortWithinPartitions(*by, "node").mapInArrow(run, "a long, b long")
+
+
+def _bounds(key: list[np.ndarray]):
+    """Starts and ends of runs of equal rows of some columns."""
+    fresh = np.ones(len(key[0]), bool)
+    fresh[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in key])
+    start = np.flatnonzero(fresh)
+    return start, np.append(start[1:], len(fresh))
 
 
 def _dealt(texts: DataFrame, cluster: str) -> tuple[DataFrame, DataFrame]:
@@ -179,43 +221,79 @@ def _whole(found: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+def _numbered(full: DataFrame) -> DataFrame:
+    """(_words, node, rep) of sketches: a number for each text of words, in the order of the smallest doc_id (null last), and the row that stands for it."""
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t")).alias("rep")
+    n = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["rep.none", "rep.doc_id", "_words"]
+    nodes = common.stored(full.groupBy("_words").agg(rep), "least")
+    return common.stored(nodes.repartitionByRange(n, *order).sortWithinPartitions(*order).select("_words", F.monotonically_increasing_id().alias("node"), "rep"), "numbers")
+
+
+def _open(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, cluster) for bands whose nodes aren't one component yet; of bands with the same nodes (told by their number, ends and 128 bits of hashes) there is one."""
+    now = shared.join(joined, "node", "left").select("node", "band", F.coalesce("component", "node").alias("now"))
+    a, b = common.hashes(F.col("node"))
+    found = now.groupBy("band").agg(F.min("now").alias("_x"), F.max("now").alias("_y"), F.count("*").alias("n"), F.bit_xor(a).alias("a"), F.bit_xor(b).alias("b")).filter("_x < _y")
+    once = common.stored(found.groupBy("n", "a", "b").agg(F.min("band").alias("band")).select("band"), "open-bands")
+    return shared.join(once, "band").select("node", F.col("band").alias("cluster"))
+
+
+def members(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, _t, n_shingles, component, component_id) for each row of docs (doc_id, text); component is null where the text has no words."""
     made = common.stored(sketched(docs, k, percent), "sketches")
     full = made.filter("n_shingles > 0")
-    nodes = common.stored(full.groupBy("_a", "_b").agg(F.min("doc_id").alias("node")), "least")
-    membership = common.stored(full.drop("_bands").join(nodes, ["_a", "_b"]).drop("_a", "_b"), "nodes")
-    own = membership.filter("doc_id = node").select("node", F.col("n_shingles").alias("n")).distinct()
-    banded = full.join(own.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.explode("_bands").alias("band"))
-    banded = common.stored(banded, "bands")
+    nodes = _numbered(full)
+    stands = (F.col("_t") == F.col("rep._t")) & F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))
+    membership = full.join(nodes, "_words").select("doc_id", "_t", "n_shingles", "node", stands.alias("stands"), F.when(stands, F.col("_bands")).alias("_bands"))
+    membership = common.stored(membership, "nodes")
+    own = membership.filter("stands").select("doc_id", "_t", "node", F.col("n_shingles").alias("n"))
+    # rows that repeat whole would stand for their node more than once
+    repeated = not own.groupBy("node").count().filter("count > 1").isEmpty()
+    banded = membership.filter("stands").select("node", F.explode("_bands").alias("band"))
+    banded = common.stored(banded.distinct() if repeated else banded, "bands")
     shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("band", "first")
     shared = common.stored(banded.join(common.stored(shared, "first-of-bands"), "band"), "shared-bands")
-    members = own.join(shared.groupBy("node").agg(F.min("first").alias("hub")), "node")
+    hubs = (own.distinct() if repeated else own).join(shared.groupBy("node").agg(F.min("first").alias("hub")), "node")
     # texts are shuffled once at any size: a broadcast of the members would stop working as they grow
-    texts = common.stored(docs.select(F.col("doc_id").alias("node"), "text").join(members.hint("merge"), "node"), "candidates")
+    rows = docs.select(F.col("doc_id").alias("_id"), text_digest().alias("_digest"), "text")
+    texts = rows.join(hubs.hint("merge"), (F.col("_digest") == F.col("_t")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "text", "n", "hub")
+    if repeated:
+        texts = texts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("text", "n", "hub")))
+    texts = common.stored(texts, "candidates")
     links = common.stored(near_hubs(texts, k, percent), "links")
-    joined = _whole(components(links))
-    now = shared.join(joined, "node", "left").select("node", "band", F.coalesce("component", "node").alias("now"))
-    open_ = now.groupBy("band").agg(F.min("now").alias("_x"), F.max("now").alias("_y"), F.min("node").alias("least")).filter("_x < _y").select("band", "least")
-    open_ = common.stored(open_, "open-bands")
-    clusters = _whole(components(shared.join(open_, "band").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))))
-    rest = confirmed(texts.join(clusters.withColumnRenamed("component", "cluster"), "node"), k, percent)
+    clusters = _open(shared, _whole(components(links)))
+    rest = confirmed(texts.select("node", "text", "n").join(clusters, "node"), k, percent)
     found = components(links.unionByName(rest))
-    found = membership.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return found.unionByName(made.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    found = membership.join(found, "node", "left").select("doc_id", "_t", "n_shingles", F.coalesce("component", "node").alias("component"))
+    # a component is numbered as the node of its smallest doc_id
+    ids = nodes.select(F.col("node").alias("component"), F.col("rep.doc_id").alias("component_id"))
+    found = found.join(ids, "component").select("doc_id", "_t", "n_shingles", "component", "component_id")
+    none = made.filter("n_shingles = 0").select("doc_id", "_t", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return found.unionByName(none)
+
+
+def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+    return members(docs, k, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that aren't the smallest doc_id of their component; of rows with one doc_id one stays, and rows without an id stay."""
-    gone = classes(docs, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One row of docs for each component, that of the smallest doc_id (of more rows with that id, the one whose text has the least digest), and all rows without words."""
+    found = members(docs.select("doc_id", "text"), k, percent).filter("component is not null")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t")).alias("least"), F.count("*").alias("n"))
+    kept = common.stored(kept.select(F.col("least.doc_id").alias("_id"), F.col("least._t").alias("_digest"), "n"), "kept")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), text_digest().alias("_text"), (F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(common.SPACE))) == 0).alias("_none"))
+    left = rows.filter("not _none").join(kept.hint("merge"), (F.col("_text") == F.col("_digest")) & F.col("_doc").eqNullSafe(F.col("_id")))
+    # a row that repeats whole stays once
+    turn = F.row_number().over(Window.partitionBy("_text", "_doc").orderBy("_text"))
+    return left.withColumn("_turn", turn).filter("_turn = 1").select("_row.*").unionByName(rows.filter("_none").select("_row.*"))
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
     """Every document's number of shingles and component, with shingles of 3 words and a similarity of 85 % or more."""
     found = classes(common.table(spark, sf_dir, "documents"), 3, 85)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 OP10_SQL = rf"""

@@ -1,66 +1,65 @@
 """Removal of every byte inside a string of LENGTH bytes that also starts anywhere else.
 
-Every window of LENGTH bytes has an anchor, the place of the least hash among its GRAM-byte strings (the leftmost of equals), so equal windows have equal anchors at equal offsets. The windows of one anchor are neighbours: a run, about one for every 85 bytes.
+Whether a window of LENGTH bytes repeats is decided by a column-wise built transform of real bytes (bwt.py), never by a hash. Hashes only bring what may be equal into one collection, and leave out what can't be: windows whose hash no other has.
 
-1. Runs of one whole content (a 64-bit hash, beside that of the anchor's gram) that occurs twice repeat with all their windows.
-2. Runs whose content occurs once, while their anchor's gram occurs with other contents too, are undecided: windows at the edge of repeated passages. Of each other content of the gram one run stays as a witness.
-3. The undecided runs and witnesses are taken in groups of windows at GROUP neighbouring offsets from the anchor. A group's windows share a core of LENGTH - GROUP + 1 bytes; groups are judged by core and content as runs are by gram and content.
-4. What is still undecided is a collection of short strings, a group's bytes with the core put as CODE bytes of its hash. Collections of whole cores, bounded in size, get their Burrows-Wheeler transform and common prefixes column by column (bwt.py): a window repeats if it has its whole length in common with a neighbour. Spark's sorted shuffle files bring a task its cores one after the other, so a task holds one bounded collection at a time.
-5. Cores with more than KINDS contents, such as a passage in a third of all documents, are no collection that one task should hold: their windows are compared by hashes.
+Every window has an anchor, the place of the least hash among its GRAM-byte strings (the leftmost of equals), so equal windows have equal anchors at equal offsets. The windows of one anchor are neighbours: a run, about one for every 85 bytes.
 
-Comparisons before step 4 are counts by hash, with partial sums before the shuffle, and joins whose two sides are plain shuffles, which Spark splits where a key is hot. Texts are shuffled once, to a table bucketed by doc_id, which later steps join without another shuffle.
+1. Runs whose anchor's gram occurs once can't repeat. The others are judged by gram and content (a hash of the run's bytes).
+2. Runs of a content that comes twice or more are copies, it seems: each is to be compared with a witness, another run of that content. Witnesses are chosen in parts of a content, as many as the root of the number of rows, so that no witness has too many runs. In a text the runs whose witnesses follow each other in one text are one stretch, cut where the witness passes a multiple of SPAN, so a copied text goes out about one and a half times.
+3. Contents of a gram that has several: windows at the edge of repeated passages. One run of each content goes to the gram's collection, unless there are more than KINDS of them. Then runs are cut into groups of GROUPS[0] neighbouring windows by their offset from the anchor, which are judged by their core (the bytes that all have) and content as runs are, then into smaller groups, and last into windows, whose content is their core: so a passage in a third of all texts has collections of bounded size too.
+4. Collections are decided in their tasks, which read them one after the other from Spark's sorted shuffle, some at a time as one transform of at most SYMBOLS places. Where a witness has more strings than that, it goes with each part of them.
 
-The transform of all whole texts at once would take a round over all that is built so far for each byte of the longest text; equal windows have equal anchors and cores, so transforms by core find the same.
+The method's external files: a transform that is bounded by SYMBOLS takes under 2 MB, so it stays in memory, and the files that tasks read in sequence are the shuffle's. One transform of all texts would take a round over all that is built so far for each 25 bytes of the longest text; equal windows have equal anchors, so transforms by anchor find the same.
 
-Cases: null or empty text: nothing to remove, the digest of the empty string. Texts under LENGTH bytes are kept whole. Windows that overlap themselves (runs of one letter) count. Repeated rows: each is a document, so both lose what they share; rows of one id are told apart by 15 bits of a hash of their texts. Very long texts: cut into pieces that overlap by LENGTH - 1 bytes. Empty table: empty result. Other columns are passed through by dedup_substrings(), whatever their names.
+Texts are shuffled once, to a table bucketed by a number given to each row, which all later steps join without another shuffle.
+
+Cases: null or empty text: nothing to remove, the digest of the empty string. Texts under LENGTH bytes are kept whole. Windows that overlap themselves (runs of one letter) count. Repeated rows, ids that come again and null ids: each row is a document, so all lose what they share. Very long texts: cut into pieces that overlap by LENGTH - 1 bytes. Empty table: empty result. Extra columns, whatever their names, are not read; removed() gives doc_id and its own columns.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .bwt import common_prefixes
+from . import bwt, common
 from .words import mixed
 
-LENGTH, GRAM, GROUP = 200, 32, 57
-#: Bytes that stand for a core, and what is left of a window then.
-CODE = 9
-SHORT = GROUP - 1 + CODE
-#: Contents of a core that may be one collection, and bytes of collections.
-KINDS, COLLECTION = 512, 100_000
-#: Bytes that are looked at together; places fit PLACE_BITS.
+LENGTH, GRAM, GROUPS = 200, 32, (57, 8, 1)
+#: Windows of a stretch that are compared with a witness, and contents of a core in one collection.
+SPAN, KINDS = 400, 128
+#: Places of a transform; those of KINDS runs are fewer.
+SYMBOLS = 60_000
+#: Bytes that are looked at together; places in them fit PLACE_BITS.
 PIECE, PLACE_BITS = 2 << 20, 26
-_BASE = 0x5851F42D4C957F2D | 1
 _TOP = np.uint64(2**64 - 1)
-_TABLES = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _tables(n: int):
-    if len(_TABLES[0]) < n:
-        with np.errstate(over="ignore"):
-            _TABLES[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b & (2**64 - 1), np.uint64), dtype=np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _TABLES
 
 
 class Hashes:
-    """Hashes of all substrings of a buffer, from sums up to each place."""
+    """Hashes of all substrings of 8 bytes or more of a buffer: sums up to each place of mixed eights of bytes, times powers of an odd number. They bring equals together and decide nothing."""
+
+    BASE = 0x5851F42D4C957F2D
+    _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _tables(len(data) + 1)
+        if len(self._powers[0]) <= len(data):
+            with np.errstate(over="ignore"):
+                Hashes._powers = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(data), b, np.uint64), dtype=np.uint64)]) for b in (self.BASE, pow(self.BASE, -1, 1 << 64))]
+        up, self.down = Hashes._powers
+        eights = np.lib.stride_tricks.sliding_window_view(data, 8) if len(data) >= 8 else np.empty((0, 8), np.uint8)
+        value = mixed(np.ascontiguousarray(eights).view(np.uint64).ravel())
         with np.errstate(over="ignore"):
-            self.total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
+            value *= up[: len(value)]
+        self.total = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
 
     def of(self, start: np.ndarray, stop: np.ndarray, seed=0) -> np.ndarray:
         with np.errstate(over="ignore"):
             size = (np.asarray(stop) - np.asarray(start)).astype(np.uint64)
-            return mixed((self.total[stop] - self.total[start]) * self.down[start] + size + np.asarray(seed, np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            return mixed((self.total[stop - 7] - self.total[start]) * self.down[start] + size + np.asarray(seed, np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -72,13 +71,8 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:k], ahead[width - 1 : width - 1 + k])
 
 
-def mark(text: bytes) -> int:
-    """15 bits of a text's hash."""
-    return zlib.crc32(text) & 0x7FFF
-
-
 def runs(texts: list[bytes]):
-    """For the windows of some texts: the text's number, the hashes of the anchor's gram and of the run's content, and where: mark << 48 | first window << 16 | windows << 8 | anchor's offset in the first window."""
+    """For the windows of some texts: the text's number, the hashes of the anchor's gram and of the run's content, and the place: first window << 16 | windows << 8 | anchor's offset in the first window."""
     span = LENGTH - GRAM + 1
     parts: list[tuple[int, int, bytes]] = []  # number, place in the text, bytes
     for i, t in enumerate(texts):
@@ -101,215 +95,227 @@ def runs(texts: list[bytes]):
     last = np.append(first[1:], len(p)) - 1
     s0, s1, anchor, part = p[first], p[last], anchor[first], part[first]
     number, place = np.array([i for i, *_ in parts], np.int64)[part], np.array([a for _, a, _ in parts], np.int64)[part]
-    marks = np.array([mark(t) for t in texts], np.int64)[number]
-    where = (marks << 48) | ((s0 - starts[part] + place) << 16) | ((s1 - s0 + 1) << 8) | (anchor - s0)
+    where = ((s0 - starts[part] + place) << 16) | ((s1 - s0 + 1) << 8) | (anchor - s0)
     return number, h.of(anchor, anchor + GRAM), h.of(s0, s1 + LENGTH, anchor - s0 + 1), where
 
 
-def _ids(part: pa.RecordBatch, number: np.ndarray) -> pa.Array:
-    return part.column("doc_id").take(pa.array(number))
+def groups(texts: list[bytes], number: np.ndarray, where: np.ndarray, size: int):
+    """The runs or groups at places `where` of texts `number`, cut into groups of up to `size` windows by their offset from the anchor or core: text's number, hashes of the core and of all bytes, and the place with the core's offset."""
+    base = np.cumsum([0, *map(len, texts)])[number]
+    h = Hashes(np.frombuffer(b"".join(texts), np.uint8))
+    s0, n, off = where >> 16, (where >> 8) & 0xFF, where & 0xFF
+    least = off - n + 1
+    count = off // size - least // size + 1
+    row = np.repeat(np.arange(len(where)), count)
+    g = least[row] // size + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    anchor = (s0 + off)[row]
+    first, core = anchor - np.minimum(off[row], size * g + size - 1), anchor - size * g
+    n = anchor - np.maximum(least[row], size * g) - first + 1
+    at = base[row]
+    return number[row], h.of(at + core, at + core + LENGTH - size + 1, g + 1), h.of(at + first, at + first + n - 1 + LENGTH, core - first + 1), (first << 16) | (n << 8) | (core - first)
+
+
+def stretches(number: np.ndarray, place: np.ndarray, witness: np.ndarray, at: np.ndarray):
+    """Runs of texts `number` at places, whose witnesses are at `at` in the texts `witness`, as stretches: number, first window, windows, witness, how much further they are in it, and which SPAN of it they are in."""
+    first, n, shift = place >> 16, (place >> 8) & 0xFF, at - (place >> 16)
+    count = (at + n - 1) // SPAN - at // SPAN + 1
+    row = np.repeat(np.arange(len(first)), count)
+    block = at[row] // SPAN + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    lo = np.maximum(first[row], block * SPAN - shift[row])
+    hi = np.minimum((first + n)[row], block * SPAN + SPAN - shift[row])
+    number, witness, shift = number[row], witness[row], shift[row]
+    order = np.lexsort((lo, block, shift, witness, number))
+    number, witness, shift, block, lo, hi = (x[order] for x in (number, witness, shift, block, lo, hi))
+    fresh = np.ones(len(lo), bool)
+    for x in (number, witness, shift, block):
+        fresh[1:] &= x[1:] == x[:-1]
+    fresh[1:] = ~(fresh[1:] & (lo[1:] == hi[:-1]))
+    start = np.flatnonzero(fresh)
+    stop = np.append(start[1:], len(lo))[: len(start)] - 1
+    return number[start], lo[start], hi[stop] - lo[start], witness[start], shift[start], block[start]
+
+
+def _numbers(part: pa.RecordBatch, column: str):
+    """Of a column of lists of structs: the row of each struct, and arrays of the fields; null is -1."""
+    lists = part.column(column)
+    values = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    return row, [values.field(i).fill_null(-1).to_numpy() for i in range(values.type.num_fields)]
 
 
-def all_runs(docs: DataFrame) -> DataFrame:
-    def go(batches):
-        for batch in batches:
-            for part in common.slices(batch, limit=PIECE):
-                number, gram, content, where = runs([t.encode() for t in common.texts(part)])
-                yield pa.RecordBatch.from_arrays([_ids(part, number), pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), pa.array(where)], names=["doc_id", "gram", "content", "place"])
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
 
-    return docs.select("doc_id", "text").mapInArrow(go, "doc_id long, gram long, content long, place long")
+def _rows_of(part: pa.RecordBatch, row: np.ndarray) -> pa.Array:
+    return part.column("r").take(pa.array(row))
 
 
-def _lists(batch: pa.RecordBatch, column: str):
-    return [np.array(x or (), np.int64) for x in batch.column(column).to_pylist()]
+def all_runs(texts: DataFrame) -> DataFrame:
+    """(r, key, content, place) of all runs of texts (r, text)."""
 
+    def go(batches):
+        for batch in batches:
+            for part in common.slices(batch, limit=PIECE):
+                row, gram, content, where = runs([t.encode() for t in common.texts(part)])
+                yield pa.RecordBatch.from_arrays([_rows_of(part, row), _signed(gram), _signed(content), pa.array(where)], names=["r", "key", "content", "place"])
 
-def _joined(texts: list[bytes], places: list[np.ndarray]):
-    """One buffer of the texts that have places, with LENGTH zeros at its end; places of these texts (by their marks), with the number and start of the text of each."""
-    kept, start, number, base, at = [], [], [], [], 0
-    for i, (t, x) in enumerate(zip(texts, places, strict=True)):
-        x = x[(x >> 48) == mark(t)] if len(x) else x
-        if len(x):
-            kept.append(t), start.append(x), number.append(np.full(len(x), i)), base.append(np.full(len(x), at))
-            at += len(t)
-    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return np.frombuffer(b"".join(kept), np.uint8), cat(start), cat(number), cat(base)
+    return texts.select("r", "text").mapInArrow(go, "r long, key long, content long, place long")
 
 
-def _fields(where: np.ndarray):
-    """Of places: the mark in its bits, first window, windows, offset."""
-    return where & ~np.int64((1 << 48) - 1), (where >> 16) & 0xFFFFFFFF, (where >> 8) & 0xFF, where & 0xFF
+def _listed(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(r, text, _places) of the texts that places (r and more) have: the other columns of places, as lists of structs."""
+    lists = places.groupBy("r").agg(F.collect_list(F.struct(*(c for c in places.columns if c != "r"))).alias("_places"))
+    return texts.select("r", "text").join(lists.hint("merge"), "r")
 
 
-def _cores(texts: list[bytes], places: list[np.ndarray]):
-    """For each run at `places`, its groups of windows: hashes of the core and of all bytes, text's number, mark << 48 | first window << 16 | windows << 8 | core's offset in the first window."""
-    data, where, number, base = _joined(texts, places)
-    if not len(where):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), number, where
-    marks, s0, n, off = _fields(where)
-    least = off - n + 1
-    groups = off // GROUP - least // GROUP + 1
-    row = np.repeat(np.arange(len(where)), groups)
-    g = least[row] // GROUP + np.arange(len(row)) - np.repeat(np.cumsum(groups) - groups, groups)
-    anchor = (s0 + off)[row]
-    high, low = np.minimum(off[row], GROUP * g + GROUP - 1), np.maximum(least[row], GROUP * g)
-    h, first, core = Hashes(data), anchor - high, anchor - GROUP * g
-    size, at = high - low + 1, base[row]
-    return h.of(at + core, at + core + LENGTH - GROUP + 1, g + 1), h.of(at + first, at + first + size - 1 + LENGTH, core - first + 1), number[row], marks[row] | (first << 16) | (size << 8) | (core - first)
-
-
-def _windows(texts: list[bytes], places: list[np.ndarray]):
-    """Each window of the groups at `places`: two hashes, text's number, mark << 48 | window << 16 | 1 << 8."""
-    data, where, number, base = _joined(texts, places)
-    if not len(where):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), number, where
-    marks, first, n, _ = _fields(where)
-    row = np.repeat(np.arange(len(where)), n)
-    p = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    h, start = Hashes(data), base[row] + p
-    return h.of(start, start + LENGTH), h.of(start, start + LENGTH // 2, 77), number[row], marks[row] | (p << 16) | (1 << 8)
-
-
-def _strings(texts: list[bytes], places: list[np.ndarray]):
-    """The groups at `places`: hash of the core, text's number, place, and the bytes with CODE bytes of 7 bits of that hash for the core."""
-    data, where, number, base = _joined(texts, places)
-    if not len(where):
-        return np.empty(0, np.uint64), number, where, []
-    _, first, n, offset = _fields(where)
-    core = base + first + offset
-    key = Hashes(data).of(core, core + LENGTH - GROUP + 1)
-    code = ((key[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(7))) & np.uint64(0x7F)).astype(np.uint8)
-    raw, found = data.tobytes(), []
-    for a, c, z, x in zip((base + first).tolist(), core.tolist(), (base + first + n - 1 + LENGTH).tolist(), code, strict=True):
-        found.append(raw[a:c] + x.tobytes() + raw[c + LENGTH - GROUP + 1 : z])
-    return key, number, where, found
-
-
-def _by_text(table: DataFrame, lists: DataFrame | None, columns: list[str], made, schema: str) -> DataFrame:
-    """The batches that `made` gives for texts of table and their lists of places, named by schema."""
-    names = [x.split()[0] for x in schema.split(", ")]
+def smaller(texts: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """groups() as rows, like those of all_runs(), for places (r, place)."""
 
     def go(batches):
         for batch in batches:
             for part in common.slices(batch, limit=PIECE):
-                for arrays in made(part, [t.encode() for t in common.texts(part)], *(_lists(part, c) for c in columns)):
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+                row, (where,) = _numbers(part, "_places")
+                row, core, content, where = groups([t.encode() for t in common.texts(part)], row, where, size)
+                yield pa.RecordBatch.from_arrays([_rows_of(part, row), _signed(core), _signed(content), pa.array(where)], names=["r", "key", "content", "place"])
 
-    rows = table if lists is None else table.select("doc_id", "text").join(lists.hint("merge"), "doc_id")
-    some = F.array_max(F.array(*(F.size(c) for c in columns))) > 0
-    return rows.select("doc_id", "text", *columns).filter(some).mapInArrow(go, schema)
+    return _listed(texts, places).mapInArrow(go, "r long, key long, content long, place long")
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def judged(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows (r, key, content, place): those with a content that comes again, with their witness (r, place, witness, at); and one row of each content of keys with several contents (r, place, key, kinds)."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    # tables, so that the shuffles of rows with a hot key can be split
+    some = common.stored(rows.join(common.stored(counts, f"{name}-keys").hint("merge"), "key", "left_semi"), f"{name}-rows")
+    part = F.pmod(F.xxhash64("r"), F.lit(max(16, math.isqrt(some.count())))).alias("part")
+    parts = common.stored(some.groupBy("key", "content", part).agg(F.count("*").alias("n"), F.min(F.struct("r", "place")).alias("first")), f"{name}-parts")
+    contents = common.stored(parts.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min("first").alias("least"), F.max("first").alias("most"), F.count_if(F.col("n") == 1).alias("alone")), f"{name}-contents")
+    kinds = common.stored(contents.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), f"{name}-kinds")
+    asked = contents.join(kinds.hint("merge"), "key").select("least.r", "least.place", "key", "kinds")
+    # a row that is alone in its part has the least of all as its witness; if only the least is alone, it has that of another part
+    witness = F.when(F.col("n") > 1, F.col("first")).when((F.col("alone") == 1) & (F.col("first") == F.col("least")), F.col("most")).otherwise(F.col("least"))
+    again = parts.join(contents.filter("n > 1").drop("n").hint("merge"), ["key", "content"]).select("key", "content", "part", witness.alias("w"))
+    copies = some.withColumn("part", part).join(common.stored(again, f"{name}-witnesses").hint("merge"), ["key", "content", "part"])
+    return copies.select("r", "place", F.col("w.r").alias("witness"), F.shiftright("w.place", 16).alias("at")), asked
 
 
-def _group_rows(part, texts, asked):
-    core, content, number, where = _cores(texts, asked)
-    yield [_signed(core), _signed(content), _ids(part, number), pa.array(where)]
+def strings(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, lead, bytes, r, place) for collections, place being first window << 16 | windows: of places (r, place, key, witness, at) with a key the string itself, of those with a witness their stretches. lead marks the witness's own."""
 
-
-def _last_rows(part, texts, near, hot):
-    """Strings for collections, and windows for hashing, of which the other columns are null."""
-    core, number, where, found = _strings(texts, near)
-    none = pa.nulls(len(core), pa.int64())
-    yield [_signed(core), pa.array(found, pa.binary()), none, none, _ids(part, number), pa.array(where)]
-    h, g, number, where = _windows(texts, hot)
-    yield [pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary()), _signed(h), _signed(g), _ids(part, number), pa.array(where)]
-
-
-def in_collections(strings: DataFrame) -> DataFrame:
-    """(doc_id, place) of the stretches of windows that repeat among strings (core, bytes, doc_id, place); a core is never parted."""
+    def go(batches):
+        for batch in batches:
+            for part in common.slices(batch, limit=PIECE):
+                row, (place, key, witness, at) = _numbers(part, "_places")
+                raw = [t.encode() for t in common.texts(part)]
+                own, r = witness < 0, part.column("r").to_numpy()
+                copied, first, n, w, shift, block = stretches(row[~own], place[~own], witness[~own], at[~own])
+                with np.errstate(over="ignore"):
+                    joint = mixed(mixed(w.view(np.uint64)) + block.astype(np.uint64)).view(np.int64)
+                row, key = np.concatenate([row[own], copied]), np.concatenate([key[own], joint])
+                first, n = np.concatenate([place[own] >> 16, first]), np.concatenate([(place[own] >> 8) & 0xFF, n])
+                lead = np.concatenate([np.zeros(own.sum(), bool), (w == r[copied]) & (shift == 0)])
+                found = [raw[i][a:z] for i, a, z in zip(row.tolist(), first.tolist(), (first + n - 1 + LENGTH).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lead), pa.array(found, pa.binary()), _rows_of(part, row), pa.array((first << 16) | n)], names=["key", "lead", "bytes", "r", "place"])
+
+    return _listed(texts, places).mapInArrow(go, "key long, lead boolean, bytes binary, r long, place long")
+
+
+def _cut(key: np.ndarray, lead: np.ndarray, lengths: np.ndarray):
+    """Places of rows sorted by key and lead, as transforms of at most about SYMBOLS bytes: keys whole, or a key's leads and some of its others."""
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    held, size, at = [], 0, 0
+    for end in ends.tolist():
+        mine = int(lengths[at:end].sum())
+        if size + mine > SYMBOLS and held:
+            yield np.arange(held[0], at)
+            held, size = [], 0
+        if mine <= SYMBOLS:
+            held, size = held or [at], size + mine
+        else:
+            leads = at + np.flatnonzero(lead[at:end])
+            others = np.setdiff1d(np.arange(at, end), leads)
+            room = np.cumsum(lengths[others]) // max(1, SYMBOLS - int(lengths[leads].sum()))
+            for k in np.unique(room):
+                yield np.concatenate([leads, others[room == k]])
+        at = end
+    if held:
+        yield np.arange(held[0], at)
+
+
+def decided(found: DataFrame) -> DataFrame:
+    """(r, place) of the stretches of windows that repeat among strings(); a key is in one task."""
 
     def decide(rows: pa.Table):
         rows = rows.combine_chunks()
-        core, where = rows.column("core").to_numpy(), rows.column("place").to_numpy()
-        found = rows.column("bytes").to_pylist()
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.append(np.flatnonzero(core[1:] != core[:-1]) + 1, len(core))
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        marks, first, n, _ = _fields(where)
-        at = 0
-        while at < len(core):
-            k = np.searchsorted(total[ends], total[at] + COLLECTION, "right")
-            end = int(ends[max(k - 1, np.searchsorted(ends, at, "right"))])
-            prefix = common_prefixes(np.frombuffer(b"".join(found[at:end]), np.uint8), lengths[at:end], SHORT)
-            start = total[at:end] - total[at]
-            row = np.repeat(np.arange(end - at), n[at:end])
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n[at:end]) - n[at:end], n[at:end])
-            hit = prefix[start[row] + step] >= SHORT
-            row, step = row[hit], step[hit]
+        key, lead, r, place = (rows.column(c).to_numpy() for c in ("key", "lead", "r", "place"))
+        raw = rows.column("bytes").chunk(0)
+        lengths = pa.compute.binary_length(raw).to_numpy().astype(np.int64)
+        for chosen in _cut(key, lead, lengths):
+            mine = raw.take(pa.array(chosen))
+            offsets = np.frombuffer(mine.buffers()[1], np.int32, len(mine) + 1, mine.offset * 4)
+            data = np.frombuffer(mine.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            first, n = place[chosen] >> 16, place[chosen] & 0xFFFF
+            hit = bwt.repeated(data, lengths[chosen], np.unique(r[chosen], return_inverse=True)[1], first, LENGTH)
+            row = np.repeat(np.arange(len(chosen)), n)[hit]
+            step = (np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n))[hit]
             if len(row):
                 fresh = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)]))
                 size = np.diff(np.append(fresh, len(row)))
-                row, step = row[fresh] + at, step[fresh]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)).combine_chunks(), pa.array(marks[row] | ((first[row] + step) << 16) | (size << 8))], names=["doc_id", "place"])
-            at = end
+                row, step = row[fresh], step[fresh]
+                yield pa.RecordBatch.from_arrays([pa.array(r[chosen][row]), pa.array(((first[row] + step) << 16) | size)], names=["r", "place"])
 
     def go(batches):
-        held = None
+        held: list[pa.RecordBatch] = []
+        bytes_ = 0
         for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            core = held.column("core").to_numpy()
-            full = int(np.searchsorted(core, core[-1])) if len(core) else 0  # the last core may go on
-            if full >= 2048:
-                yield from decide(held.slice(0, full))
-                held = held.slice(full)
-        if held is not None and held.num_rows:
-            yield from decide(held)
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            bytes_ += batch.nbytes
+            if bytes_ > 32 * SYMBOLS:
+                table = pa.Table.from_batches(held)
+                key = table.column("key").to_numpy()
+                full = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                if full:
+                    yield from decide(table.slice(0, full))
+                    held, bytes_ = table.slice(full).combine_chunks().to_batches(), 0
+        if held:
+            yield from decide(pa.Table.from_batches(held))
 
     # a number of partitions, as time and not size is what a partition takes
-    n = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return strings.repartition(n, "core").sortWithinPartitions("core").mapInArrow(go, "doc_id long, place long")
-
-
-def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys)
-    # a table, so that the shuffle of rows of a hot key can be split
-    return rows.join(common.stored(counts, "repeated-keys").hint("merge"), list(keys), "left_semi")
-
-
-def _judged(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows (key, content, doc_id, place) with keys that come twice, and: n of their content, kinds of contents of their key, and whether the row is asked: its key has several kinds, and it is the content's witness."""
-    some = common.stored(_repeated(rows, key), name)
-    contents = common.stored(some.groupBy(key, "content").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "place")).alias("witness")), f"{name}-contents")
-    contents = contents.join(common.stored(contents.groupBy(key).agg(F.count("*").alias("kinds")), f"{name}-kinds").hint("merge"), key)
-    asked = (F.col("kinds") > 1) & (F.col("witness") == F.xxhash64("doc_id", "place"))
-    return some.join(contents.hint("merge"), [key, "content"]).select("doc_id", "place", "n", "kinds", asked.alias("asked"))
-
-
-def _list(column: str, when) -> Column:
-    return F.collect_list(F.when(when, F.col("place"))).alias(column)
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(n, "key").sortWithinPartitions("key", F.desc("lead")).mapInArrow(go, "r long, place long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _whole, _more): the places of each row's stretches of windows that repeat, those of whole runs apart."""
-    found = common.stored(all_runs(docs), "runs")
-    judged = _judged(found, "gram", "repeated-grams")
-    lists = judged.groupBy("doc_id").agg(_list("_whole", F.col("n") > 1), _list("_asked", F.col("asked")))
-    table = common.bucketed(docs.select("doc_id", "text").join(lists.hint("merge"), "doc_id", "left"), "substring_texts", "doc_id")
-    common.discard(found)
-    cores = common.stored(_by_text(table, None, ["_asked"], _group_rows, "core long, content long, doc_id long, place long"), "cores")
-    judged = common.stored(_judged(cores, "core", "repeated-cores"), "judged-cores")
-    few = F.col("kinds") <= KINDS
-    lists = judged.filter("asked").groupBy("doc_id").agg(_list("_near", few), _list("_hot", ~few))
-    last = common.stored(_by_text(table, lists, ["_near", "_hot"], _last_rows, "core long, bytes binary, h long, g long, doc_id long, place long"), "last")
-    common.discard(cores)
-    more = judged.filter("n > 1").select("doc_id", "place").unionByName(in_collections(last.filter("core is not null").select("core", "bytes", "doc_id", "place")))
-    more = more.unionByName(_repeated(last.filter("core is null").select("h", "g", "doc_id", "place"), "h", "g").select("doc_id", "place"))
-    more = more.groupBy("doc_id").agg(F.collect_list("place").alias("_more"))
-    return table.select("doc_id", "text", "_whole").join(more.hint("merge"), "doc_id", "left")
-
-
-def spans(text: bytes, *places: np.ndarray) -> np.ndarray:
+    """(doc_id, text, _places): the stretches of each row's windows that repeat, null for none."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("r"), "doc_id", "text")
+    texts = common.bucketed(numbered.repartition(n, "r"), "substring_texts", "r")
+    rows, places = common.stored(all_runs(texts), "runs"), None
+    for size in (*GROUPS, None):
+        copies, asked = judged(rows, "substrings")
+        asked = common.stored(asked, "substrings-asked")
+        few = asked.filter(F.col("kinds") <= KINDS).select("r", "place", "key", F.lit(-1).cast("long").alias("witness"), F.lit(-1).cast("long").alias("at"))
+        both = common.stored(few.unionByName(copies.select("r", "place", F.lit(0).cast("long").alias("key"), "witness", "at")), "substrings-places")
+        places = both if places is None else places.unionByName(both)
+        common.discard(rows)
+        hot = asked.filter(F.col("kinds") > KINDS).select("r", "place")
+        if size is None or hot.isEmpty():
+            break
+        rows = common.stored(smaller(texts, hot, size), "groups")
+    found = decided(strings(texts, places.select("r", "place", "key", "witness", "at")))
+    lists = found.groupBy("r").agg(F.collect_list("place").alias("_places"))
+    return texts.join(lists.hint("merge"), "r", "left").select("doc_id", "text", "_places")
+
+
+def spans(place: np.ndarray) -> np.ndarray:
     """Starts and ends of the maximal removed runs of bytes, as rows of two."""
-    where = np.concatenate(places)
-    where = where[(where >> 48) == mark(text)] if len(where) else where
-    if not len(where):
+    if not len(place):
         return np.empty((0, 2), np.int64)
-    _, first, n, _ = _fields(where)
-    order = np.argsort(first, kind="stable")
-    first, stop = first[order], np.maximum.accumulate((first + n + LENGTH - 1)[order])
+    place = np.sort(place)
+    first = place >> 16
+    stop = np.maximum.accumulate(first + (place & 0xFFFF) + LENGTH - 1)
     apart = np.nonzero(first[1:] > stop[:-1])[0]
     return np.stack([first[np.concatenate([[0], apart + 1])], stop[np.concatenate([apart, [len(stop) - 1]])]], 1)
 
@@ -329,9 +335,9 @@ def removed(docs: DataFrame, keep: bool = False) -> DataFrame:
         for batch in batches:
             for part in common.slices(batch):
                 rows = []
-                for t, whole, more in zip(common.texts(part), _lists(part, "_whole"), _lists(part, "_more"), strict=True):
+                for t, places in zip(common.texts(part), part.column("_places").to_pylist(), strict=True):
                     t = t.encode()
-                    cut = spans(t, whole, more)
+                    cut = spans(np.array(places or (), np.int64))
                     left = _left(t, cut)
                     rows.append((len(t), len(t) - len(left), len(cut), hashlib.sha256(left).hexdigest(), *((left, cut.tolist()) if keep else ())))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64()))]

@@ -4,23 +4,30 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronoweir.llm.bwt import common_prefixes
+from chronoweir.llm.bwt import repeated, transform
 
 
 def brute(strings, cap):
-    suffixes = [s[i:] for s in strings for i in range(len(s))]
-    out = [0] * len(suffixes)
-    for x, a in enumerate(suffixes):
-        for y, b in enumerate(suffixes):
-            n = 0
-            while x != y and n < min(cap, len(a), len(b)) and a[n] == b[n]:
-                n += 1
-            out[x] = max(out[x], n)
-    return out
+    """Suffixes in order, and common prefixes of neighbours."""
+    suffixes = sorted(s[i:] for s in strings for i in range(len(s)))
+    out = [0] if suffixes else []
+    for a, b in zip(suffixes, suffixes[1:]):
+        n = 0
+        while n < min(cap, len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        out.append(n)
+    return suffixes, out
 
 
 def found(strings, cap):
-    return common_prefixes(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], np.int64), cap).tolist()
+    before, ends, at = [], [], 0
+    for s in strings:
+        before += [0, *(x + 1 for x in s)]
+        at += len(s) + 1
+        ends.append(at - 1)
+    place, prefix = transform(np.array(before, np.uint16), np.array(ends), 1, cap)
+    flat = [s[i:] for s in strings for i in range(len(s) + 1)]
+    return [flat[p] for p in place.tolist()], prefix.tolist()
 
 
 @settings(max_examples=300, deadline=None)
@@ -36,6 +43,24 @@ def test_longer_strings():
     assert found(strings, 200) == brute(strings, 200)
 
 
-def test_one_letter():
-    assert found([b"z" * 50], 200) == [49, *range(49, 0, -1)]
-    assert found([b""], 5) == []
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([50, 75, 100]))
+def test_windows_of_stretches(seed, width):
+    rng = random.Random(seed)
+    base = bytes(rng.choice(b"ab") for _ in range(220))
+    strings, owner, place = [], [], []
+    for i in range(rng.randrange(1, 9)):
+        a = rng.randrange(100)
+        strings.append(bytes(b if rng.random() > 0.02 else 99 for b in base[a : a + rng.randrange(width, width + 40)])), owner.append(i), place.append(rng.randrange(100))
+        if len(strings[-1]) < width:
+            strings.pop(), owner.pop(), place.pop()
+        elif rng.random() < 0.2:  # the same stretch again is no other place
+            strings.append(strings[-1]), owner.append(i), place.append(place[-1])
+    if strings:
+        at = {}
+        for s, o, p in zip(strings, owner, place, strict=True):
+            for i in range(len(s) - width + 1):
+                at.setdefault(s[i : i + width], set()).add((o, p + i))
+        want = [len(at[s[i : i + width]]) > 1 for s in strings for i in range(len(s) - width + 1)]
+        got = repeated(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), np.array(owner), np.array(place), width)
+        assert got.tolist() == want

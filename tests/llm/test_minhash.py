@@ -1,11 +1,11 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from chronoweir.llm import components, minhash
+from chronoweir.llm import components, minhash, words
 from conftest import odd_rows, prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -95,12 +95,46 @@ def test_near_dedup_keeps_one_of_each(texts_frame):
     assert sorted(r["doc_id"] for r in kept) == sorted({c for *_, c in want})
 
 
+def brute_rows(rows, k, percent):
+    """brute() for rows whose ids repeat or are null: the smallest id of each row's component, and a number for the component (None without words)."""
+    found = [shingles(t, k) for _, t in rows]
+    group = list(range(len(rows)))
+    for x, s in enumerate(found):
+        for y in range(x):
+            t = found[y]
+            if group[x] != group[y] and s and t and (s == t or len(s) * 100 >= percent * len(t) and len(t) * 100 >= percent * len(s) and 100 * len(s & t) >= percent * len(s | t)):
+                old, new = group[x], group[y]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    return [(i, len(s), least.get(g), g if s else None) for (i, _), s, g in zip(rows, found, group, strict=True)]
+
+
 def test_near_dedup_of_odd_rows(frame):
     rows = odd_rows()
+    want = brute_rows([r[:2] for r in rows], 5, 80)
     kept = minhash.near_dedup(frame(rows)).collect()
-    ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
-    assert len(ids) == len(set(ids))
-    assert sum(r["doc_id"] is None for r in kept) == sum(r[0] is None for r in rows)
+    components = {(c, i) for i, _, c, g in want if g is not None}
+    assert Counter(r["doc_id"] for r in kept) == Counter([c for c in {g: c for _, _, c, g in want if g is not None}.values()] + [i for i, _, _, g in want if g is None])
+    assert all((r["doc_id"], r["doc_id"]) in components for r in kept if shingles(r["text"], 5))
+
+
+def test_rows_of_one_id_are_apart(frame):
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    rows = [(1, a), (1, b), (None, c), (None, a), (2, b + " more"), (1, a), (3, None), (3, "")]
+    docs = frame([(i, t, None, None, None) for i, t in rows])
+    assert Counter((r["doc_id"], r["text"]) for r in minhash.near_dedup(docs).collect()) == Counter([(1, a), (1, b), (None, c), (3, None), (3, "")])
+    assert Counter(map(tuple, minhash.classes(docs).collect())) == Counter(x[:3] for x in brute_rows(rows, 5, 80))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_words_on_which_sums_of_powers_cancel(texts_frame, n):
+    x, y = ("".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n)) for swap in (0, 1))
+    texts = [f"{x} one two {y}", f"{y} one two {x}", f"{x} {y} {x} {y}", f"{y} {x} {y} {x}"]
+    assert sorted(map(tuple, minhash.classes(texts_frame(texts), 3, 85).collect())) == brute([(10 + i, t) for i, t in enumerate(texts)], 3, 85)
 
 
 def test_components(spark):
@@ -117,10 +151,11 @@ def test_components(spark):
 
 def test_query(spark, tables):
     at, rows = tables["odd"]
-    want = defaultdict(set)
-    for i, n, c in brute(list({(r[0], r[1]) for r in rows if r[0] is not None and len(r[1] or "") < 3000}), 3, 85):
-        want[i].add((n, c))
-    for r in minhash.op10_minhash(spark, at).collect():
-        if r["doc_id"] in want:
-            assert (r["n_shingles"], r["component_id"]) in want[r["doc_id"]]
-            assert r["kept"] == (r["doc_id"] == r["component_id"])
+    want = Counter((i, n, c, i == c) for i, n, c, g in brute_rows([r[:2] for r in rows], 3, 85))
+    assert Counter(map(tuple, minhash.op10_minhash(spark, at).collect())) == want
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(words.Words, "hashes", lambda self: np.zeros(len(self.start), np.uint64))
+    number, counts = words.exact_words([b"one two One", b"", b"two " + b"x" * 70 + b" " + b"x" * 69 + b"y one"], lower=True)
+    assert number.tolist() == [0, 1, 0, 1, 2, 3, 0] and counts.tolist() == [3, 0, 4]
