@@ -2,7 +2,7 @@
 
 A text is split into words by the vocabulary's pattern. A short word is an array of part boundaries, and beside it the rank of each part's merge with its right neighbour; the least rank (leftmost of equals) is sought by a scan, its boundary deleted, and the ranks at both sides are made anew (merging.py, for all new words of some documents together). Words above SHORT bytes use a heap over a linked list instead, with the same result, since the scan takes quadratic time. Ids of words are kept in a table of bounded size, so a word that comes again costs one look-up.
 
-Cases: null text: empty, no ids. Special tokens of the vocabulary file inside a text are that token, as the tokenizers library has it by default. White space, long runs without white space and texts of any length are encoded whole. Repeated rows: each is encoded. Empty table: empty result. Other columns are ignored by the query.
+Cases: null ids: rows like others. Null text: empty, no ids. Special tokens of the vocabulary file inside a text are that token, as the tokenizers library has it by default. White space, long runs without white space and texts of any length are encoded whole. Repeated rows: each is encoded. Empty table: empty result. Other columns are ignored by the query.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import common, merging
 
@@ -191,8 +192,8 @@ def default_path() -> str:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the column ids, array<int>."""
-    schema = f"{ids} array<int>"
+    """docs with the column ids, array<int>; a column of that name is replaced."""
+    docs = docs.drop(ids)
 
     def run(batches):
         v = vocabulary(path)
@@ -201,13 +202,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 found = pa.array([v.encode(t) for t in common.texts(part, text)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, ids])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string(schema).fields]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """rows with the text of their ids."""
+    """rows with the text of their ids; a column of that name is replaced."""
+    rows = rows.drop(text)
 
     def run(batches):
         v = vocabulary(path)
@@ -215,8 +215,6 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
             found = pa.array([v.decode(x or ()) for x in batch.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, text])
 
-    from pyspark.sql import types as T
-
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
 
 

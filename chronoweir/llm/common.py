@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -46,44 +47,86 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: it is computed once, and a lost executor costs no recomputation."""
+def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
+    """df written to the shared folder and read again: it is computed once, and a lost executor costs no recomputation. Filters on partition columns read their part alone."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-    """df as a table with its files in the shared folder, bucketed by a column: joins on that column read it without a shuffle."""
+def bucketed(df: DataFrame, name: str, *columns: str, path: str | None = None) -> DataFrame:
+    """df as a table with its files in the shared folder (or at path), bucketed by columns and sorted by them: joins on them read it without a shuffle."""
     spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     _WRITTEN.append(("table", table_name))
-    df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(table_name)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, *columns).sortBy(*columns).saveAsTable(table_name)
     return spark.table(table_name)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+def opened(spark: SparkSession, path: str, schema: str, columns: list[str], buckets: int) -> DataFrame:
+    """A table that bucketed() has written at a path, in an earlier session too."""
+    name, by = f"opened_{uuid.uuid4().hex}", ", ".join(columns)
+    _WRITTEN.append(("table", name))
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+@contextlib.contextmanager
+def sorted_buckets(spark: SparkSession):
+    """Joins of tables that bucketed() has written don't sort them again, as their buckets are single files."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def written(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that a pattern fits, as far as their writing has ended."""
+    files, at = _files(spark, f"{pattern}/_SUCCESS")
+    return sorted(x.getPath().getParent().toString() for x in files.globStatus(at) or ())
+
+
+def delete(spark: SparkSession, *folders: str) -> None:
+    for folder in folders:
+        files, at = _files(spark, folder)
+        files.delete(at, True)
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of stored() tables that nothing reads any more."""
     for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _delete(df.sparkSession, folder)
+        delete(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes all that this process has stored; for when the results that read it have been written."""
-    while _WRITTEN:
-        kind, name = _WRITTEN.pop()
+def sweep(spark: SparkSession, since: int = 0, but_last: int = 0) -> None:
+    """Deletes all that this process has stored (since mark() gave a number, and but for the last ones); for when the results that read it have been written."""
+    stop = len(_WRITTEN) - but_last
+    old, _WRITTEN[since:stop] = _WRITTEN[since:stop], []
+    for kind, name in old:
         if kind == "folder":
-            _delete(spark, name)
+            delete(spark, name)
         else:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def mark() -> int:
+    return len(_WRITTEN)
+
+
+def of(struct: str, column: str) -> Column:
+    """A field of a struct, whatever its name."""
+    return F.col(struct).getField(column).alias(column)
+
+
 def hashes(*columns: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes with different seeds, 128 bits together."""
     return F.xxhash64(*columns), F.xxhash64(F.lit(7919), *columns)

@@ -6,7 +6,7 @@ Likeness of two fingerprints: 1 if equal, else the best over compatible block si
 
 The next document of each is found by sorting: documents are dealt by ranges of doc_id and sorted in their partitions, so that only each partition's first and last document meet another partition's.
 
-Cases: null text: empty. Empty text: fingerprint `1::`. Equal texts have equal fingerprints, whatever the partition. A table of one row: the document is its own next one. Repeated ids and rows are ordered by text; equal rows are told apart by nothing, and each has the next row. Empty table: empty result. Other columns are ignored by the query.
+Cases: null ids: rows like others, after all others in descending order. Null text: empty. Empty text: fingerprint `1::`. Equal texts have equal fingerprints, whatever the partition. A table of one row: the document is its own next one. Repeated ids and rows are ordered by text; equal rows are told apart by nothing, and each has the next row. Empty table: empty result. Other columns are ignored by the query.
 """
 
 from __future__ import annotations

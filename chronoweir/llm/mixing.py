@@ -4,7 +4,7 @@ Sources get targets by weight, none above ``cap`` times its size: what is above
 
 Running sums are made in two levels, so no source is ever in one task: documents fall into buckets (source, class of sizes, salt), buckets are counted and the counts summed up, and ranks are given inside buckets.
 
-Cases: null text or no words: size 0, taken 0 words (it still has copies). Null source: a source of its own, last in order. Sources without words: target 0, no copies. Repeated rows and ids: rows are sampled one by one; which of two equal rows comes first doesn't matter. Empty table: empty result. Other columns of the input, whatever their names, stay out of the arithmetic and are only passed on by mix().
+Cases: null ids: rows like others. Null text or no words: size 0, taken 0 words (it still has copies). Null source: a source of its own, last in order. Sources without words: target 0, no copies. Repeated rows and ids: rows are sampled one by one; which of two equal rows comes first doesn't matter. Empty table: empty result. Other columns of the input, whatever their names, stay out of the arithmetic and are only passed on by mix().
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SALT_BITS = 6
+SALT_BITS = 10
 _KEYS = ("_source", "_class", "_salt")
 
 
@@ -28,7 +28,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: int =
     """sizes (_source, source_size) with target: weights repeat over the sources by code point, null last.
 
     With sources in the order of cap * size / weight, those before some place take their cap; the level of the others is the greatest of (total - caps before) / (weights from here).
-    One row a source goes through one task.
+    One row a source goes through one task: a source is a collection of documents, of which there may be millions, not a site.
     """
     whole = Window.partitionBy()
     byname = whole.orderBy(F.col("_source").asc_nulls_last())
@@ -86,7 +86,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), c AS (
   SELECT *, length(bin(size + 1)) * 16 + ((size + 1) >> greatest(length(bin(size + 1)) - 4, 0)) AS class,
-         ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::BIGINT >> 10 AS salt
+         ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::BIGINT >> 6 AS salt
   FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source

@@ -2,7 +2,7 @@
 
 The words of some documents form one array of numbers, equal for equal words and only for them; suffixes are sorted by doubling, documents apart, and only those whose rank isn't single yet are sorted again. The ranks of all rounds give the longest common prefix of neighbours in the sorted order. At a word, the greater of the two common prefixes with its neighbours is the longest substring that starts there and repeats: the deepest interval of common prefixes that the suffix belongs to. Repeated substrings of at least MIN_WORDS words are united to spans; a document is dropped when they cover over MAX_COVERED of its words, or when one repeat is longer than MAX_LONGEST words.
 
-Cases: null or empty text, or no words: all counts 0, base_failed (under 50 words), not kept. One word many times, and texts of any length, take a number of rounds that is the logarithm of the longest repeat. Repeated rows: each is judged by itself. Empty table: empty result. Other columns are ignored by the query.
+Cases: null ids: rows like others. Null or empty text, or no words: all counts 0, base_failed (under 50 words), not kept. One word many times, and texts of any length, take a number of rounds that is the logarithm of the longest repeat. Repeated rows: each is judged by itself. Empty table: empty result. Other columns are ignored by the query.
 """
 
 from __future__ import annotations

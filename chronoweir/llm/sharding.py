@@ -2,9 +2,9 @@
 
 Groups are rows with equal texts. Groups by decreasing size each enter the bin with the least remaining room that holds them; the bins stand in a balanced tree by remaining room. Packing works on counts: a group's size is rounded up to a class (exact up to 4096 bytes, then to a relative 1/1024), so the sorted groups are a list of (class, number), which has at most 4096 + 1024 rows for each doubling of the largest size (under 40,000 for groups up to 2**47 bytes) whatever the number of documents; only that list comes to the driver. A run of equal groups goes to one bin as long as that bin takes them, which is what best fit does with equal items. Each (class, run of ranks) has a bin; documents find their own by the rank of their group in its class, given in two levels (salted counts, then ranks in a salt), so no class or bin is ever in one task.
 
-pack() with a capacity opens as few bins as best fit finds; into_shards() has the number of bins and seeks the least capacity that they suffice for, which makes their sizes near equal (law `bytes`). A group larger than a shard's share of all bytes can't stay whole if sizes are to be near equal: its rows are packed one by one as groups of their own.
+pack() with a capacity opens as few bins as best fit finds; into_shards() has the number of bins and seeks the least capacity that they suffice for, which makes their sizes near equal (law `bytes`). Groups are never split: one that is larger than a shard's share of what is left has a shard for itself, and the other shards are near equal without it.
 
-Cases: null text: size 1, checksum 0, and all nulls are one group, another than that of empty texts (size 1 too). Repeated rows are rows like others. Equal sizes: ranks go by hash. Empty table: empty result. Only doc_id and text are read; other columns don't matter.
+Cases: null ids: rows like others, last in their shard. Null text: size 1, checksum 0, and all nulls are one group, another than that of empty texts (size 1 too). Repeated rows are rows like others. Equal sizes: ranks go by hash. Empty table: empty result. Only doc_id and text are read; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from . import common
 
 SHARDS = 16
-SALT_BITS = 6
+SALT_BITS = 10
 
 
 class Bins:
@@ -91,18 +91,26 @@ def pack(counts: list[tuple[int, int]], capacity: int, most: int | None = None)
 
 
 def into_shards(counts: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """pack() with the least capacity (to a millionth) for which so many bins suffice."""
-    counts = sorted(counts, reverse=True)
-    if not counts:
-        return []
-    total = sum(s * n for s, n in counts)
-    low, high = max(counts[0][0], -(-total // shards)), max(counts[0][0], -(-total // shards)) * 2
-    while pack(counts, high, shards) is None:
+    """pack() into so many bins: groups larger than an equal share of what is left get bins of their own, the others the least capacity (to a millionth) for which the rest of the bins suffice."""
+    left = sorted(counts, reverse=True)
+    total, alone, first = sum(s * n for s, n in left), [], {}
+    while left and len(alone) < shards - 1 and left[0][0] * (shards - len(alone)) > total:
+        size, n = left.pop(0)
+        alone.append((size, first.get(size, 0), first.get(size, 0) + 1, len(alone)))
+        first[size], total = first.get(size, 0) + 1, total - size
+        if n > 1:
+            left.insert(0, (size, n - 1))
+    if not left:
+        return alone
+    bins = shards - len(alone)
+    low = max(left[0][0], -(-total // bins))
+    high = low * 2
+    while pack(left, high, bins) is None:
         high *= 2
-    while high - low > max(0, total // shards // 1_000_000):
+    while high - low > max(0, total // bins // 1_000_000):
         mid = (low + high) // 2
-        low, high = (low, mid) if pack(counts, mid, shards) is not None else (mid + 1, high)
-    return pack(counts, high, shards)
+        low, high = (low, mid) if pack(left, mid, bins) is not None else (mid + 1, high)
+    return alone + [(size, a + first.get(size, 0), z + first.get(size, 0), number + len(alone)) for size, a, z, number in pack(left, high, bins)]
 
 
 def rounded(size):
@@ -111,7 +119,7 @@ def rounded(size):
     return (F.ceil(size / step) * step).cast("long")
 
 
-def ranked(rows: DataFrame, group: str, by: list[str], salt: str, name: str) -> DataFrame:
+def ranked(rows: DataFrame, group: str, by: list, salt: str, name: str) -> DataFrame:
     """rows with `name`: ranks from 0 without gaps in each `group`, in an order that starts with `salt`."""
     counts = rows.groupBy(group, salt).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -124,42 +132,21 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    a, b = common.hashes("text")
-    slim = common.stored(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), a.alias("_a"), b.alias("_b"), F.xxhash64("doc_id").alias("_d")), "shard-sizes")
-    groups = slim.groupBy("_a", "_b", "size").agg(F.count("*").alias("_rows"))
-    total = slim.agg(F.sum("size")).first()[0] or 0
-    large = F.col("_rows") * F.col("size") > max(total // shards, 1)
-    #: One row a group: its hashes and, where it is packed as a whole, its class.
-    groups = common.stored(groups.select("_a", "_b", (large & (F.col("_rows") > 1)).alias("_single"), (F.col("_rows") * F.col("size")).alias("_bytes")), "shard-groups")
-    whole = groups.filter("not _single").select("_a", "_b", rounded(F.col("_bytes")).alias("_class"), F.pmod("_a", F.lit(1 << SALT_BITS)).alias("_salt"))
-    # fewer groups than shards are so large
-    singles = slim.join(F.broadcast(groups.filter("_single").select("_a", "_b")), ["_a", "_b"], "left_semi").select("_a", "_b", "_d", "doc_id", "size", "text_crc32", rounded(F.col("size")).alias("_class"), F.pmod("_d", F.lit(1 << SALT_BITS)).alias("_salt"))
-    counts = whole.groupBy("_class").count().withColumn("_kind", F.lit(0)).unionByName(singles.groupBy("_class").count().withColumn("_kind", F.lit(1)))
-    got = [(r["_class"], r["_kind"], r["count"]) for r in counts.collect()]
-    merged: dict[int, list[int]] = {}
-    for c, kind, n in got:
-        merged.setdefault(c, [0, 0])[kind] = n
-    runs = []
-    for size, first, last, number in into_shards([(c, sum(n)) for c, n in merged.items()], shards):
-        cut = merged[size][0]  # ranks of whole groups come first
-        runs += [(size, 0, first, min(last, cut), number)] if first < cut else []
-        runs += [(size, 1, max(first, cut) - cut, last - cut, number)] if last > cut else []
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("_class", "_kind", "_first", "_last", "shard")])
-    runs = spark.createDataFrame(runs, schema)
-
-    def placed(rows: DataFrame, kind: int) -> DataFrame:
-        r = F.broadcast(runs.filter(F.col("_kind") == kind).drop("_kind"))  # bounded as the list of classes is
-        rows = rows.alias("x").join(r.alias("r"), (F.col("x._class") == F.col("r._class")) & (F.col("x._rank") >= F.col("r._first")) & (F.col("x._rank") < F.col("r._last")))
-        return rows.select("x.*", F.col("r.shard").cast("int").alias("shard"))
-
-    whole = placed(ranked(whole, "_class", ["_a", "_b"], "_salt", "_rank"), 0).select("_a", "_b", "shard")
-    singles = placed(ranked(singles, "_class", ["_d", "doc_id"], "_salt", "_rank"), 1)
-    out = ["doc_id", "size", "text_crc32", "shard"]
-    return slim.join(whole, ["_a", "_b"]).select(*out).unionByName(singles.select(*out))
+    digest = F.when(F.col("text").isNull(), F.lit(b"")).otherwise(F.unhex(F.sha2("text", 256)))
+    slim = common.stored(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), digest.alias("_group")), "shard-sizes")
+    groups = slim.groupBy("_group").agg(rounded(F.sum("size")).alias("_class")).withColumn("_salt", F.pmod(F.xxhash64("_group"), F.lit(1 << SALT_BITS)))
+    groups = common.stored(groups, "shard-groups")
+    counts = [(r["_class"], r["count"]) for r in groups.groupBy("_class").count().collect()]
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("_size", "_first", "_last", "shard")])
+    # bounded as the list of classes is
+    runs = F.broadcast(spark.createDataFrame(into_shards(counts, shards), schema))
+    placed = ranked(groups, "_class", ["_group"], "_salt", "_rank").join(runs, (F.col("_class") == F.col("_size")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last")))
+    placed = common.stored(placed.select("_group", F.col("shard").cast("int").alias("shard")), "shard-places")
+    return slim.join(placed, "_group").select("doc_id", "size", "text_crc32", "shard")
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
     """Every document with its shard by law `bytes` and its place in the shard."""
     rows = common.stored(shard(common.table(spark, sf_dir, "documents").select("doc_id", "text")), "shards")
-    rows = ranked(rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(256))), "shard", ["doc_id", "text_crc32"], "_salt", "slot")
+    rows = ranked(rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(256))), "shard", [F.col("doc_id").asc_nulls_last(), "text_crc32"], "_salt", "slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -2,7 +2,7 @@
 
 The vocabulary merges characters by score, with bytes for characters it lacks. A space is written as U+2581 and one is put before the text. Which words can be cut apart, and which encode alone as one token, is proved from the vocabulary when it is loaded: no piece holds U+2581 after another character or a line feed beside one, so merges never cross the start of a run of spaces or a line feed; and every vocabulary string of that shape is merged once, and those that end as one token cost one from then on. Only other words are merged (merging.py, all new words of some documents together), and their costs kept in a table of bounded size.
 
-Cases: null text: empty, 0 bytes, 0 tokens. Strings of control tokens inside a text are ordinary text, as in the library. Texts of any length are counted whole; long words use a heap. Repeated rows: each is counted. Empty table: empty result. Other columns are ignored by the query.
+Cases: null ids: rows like others. Null text: empty, 0 bytes, 0 tokens. Strings of control tokens inside a text are ordinary text, as in the library. Texts of any length are counted whole; long words use a heap. Repeated rows: each is counted. Empty table: empty result. Other columns are ignored by the query.
 """
 
 from __future__ import annotations

@@ -1,10 +1,10 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels are given for documents only, so words get theirs first: a feature (the word, its beginnings and ends) is marked when documents that have it are toxic far more often than chance allows, and in toxic documents the words with a marked feature are labelled. The field has two labels, weights for features and for label pairs, and is trained by gradient steps on stretches of words around labelled ones and on stretches of clean documents. Forward and backward passes give each word's probability of being toxic; runs of words above one half are the offending spans, and the sum of squared probabilities, through a logistic curve fitted on the training documents, is the document's score.
+Labels are given for documents only, so words get theirs first: a feature (the word, its beginnings and ends) is marked when documents that have it are toxic far more often than chance allows, and in toxic documents the words with a marked feature are labelled. The field has two labels, weights for features and for label pairs, and is trained by gradient steps on all words of clean documents and on the stretches of toxic ones that are around labelled words (whether words far from these are toxic is not known). Sequences are cut every STRETCH words, without leaving any out. Forward and backward passes give each word's probability of being toxic; runs of words above one half are the offending spans, and the sum of squared probabilities, through a logistic curve fitted on the training documents, is the document's score.
 
-Training uses at most MAX_TOXIC toxic and MAX_CLEAN clean labelled documents, those with the least hashes of their ids; nothing else is bounded. Scores come from texts alone.
+Training uses at most MAX_TOXIC toxic and MAX_CLEAN clean labelled documents and MAX_BYTES of their texts, those with the least hashes of their ids; nothing else is bounded. Scores come from texts alone.
 
-Cases: null or empty text: scored like a text without any toxic word. Documents without labels are scored, not trained on; labels without a document are ignored; null labels are ignored. No labelled document, only one class, or no word that tells them apart: every score is 0. Very long texts are scored whole. Repeated rows are scored each. Empty table: empty result. Other columns are passed through by score(), whatever their names, if they aren't called score or spans.
+Cases: null ids: scored like others, never trained on. Null or empty text: scored like a text without any toxic word. Documents without labels are scored, not trained on; labels without a document are ignored; null labels are ignored. No labelled document, only one class, or no word that tells them apart: every score is 0. Very long texts are scored whole. Repeated rows are scored each; of rows with one id, the least text is trained on. Empty table: empty result. Other columns are passed through by score(), whatever their names; only columns score and spans are replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import types as T
 from . import common
 from .minhash import sets, sketches
 
-MAX_TOXIC, MAX_CLEAN = 1000, 2500
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1000, 2500, 64 << 20
 THRESHOLD = 0.3
-#: Words on each side of a labelled one in a training stretch.
-AROUND = 8
+#: Words on each side of a labelled one in a toxic document's training stretch, and the most of a stretch.
+AROUND, STRETCH = 8, 64
 STEPS = 60
 #: Evidence that says as little as none: below it the curve is flat.
 LITTLE = 0.3
@@ -81,34 +81,34 @@ class Emissions(dict):
         return x
 
 
-def ratios(emissions: np.ndarray, counts: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def laid(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sequences laid end to end: where each place stands if all first places come first, then all second ones, longer sequences before shorter ones; and where each of these steps begins, and the last ends."""
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(step))]).astype(np.int64)
+    return begin[step] + np.repeat(rank, counts), begin
+
+
+def ratios(emissions: np.ndarray, layout: tuple[np.ndarray, np.ndarray], pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward ratios of label 1 to label 0 at each place of sequences laid end to end, for all sequences together; the forward one has the place's own emission in it."""
-    order = np.argsort(-counts, kind="stable")
-    lengths = counts[order]
-    starts = (np.cumsum(counts) - counts)[order]
-    e, m = np.exp(np.clip(emissions, -30, 30)), np.exp(pair)
-    ahead, behind = np.ones(len(emissions)), np.ones(len(emissions))
-    live = np.searchsorted(-lengths, -np.arange(1, int(lengths.max(initial=0)) + 1), "right").tolist()
-    ratio = np.empty(0)
-    for t, k in enumerate(live):
-        at = starts[:k] + t
-        ratio = e[at] if t == 0 else e[at] * (m[0, 1] + ratio[:k] * m[1, 1]) / (m[0, 0] + ratio[:k] * m[1, 0])
-        ahead[at] = ratio
-    ratio = np.empty(0)
-    for t in range(len(live) - 1, -1, -1):
-        at = starts[: live[t]] + t
-        old = np.ones(live[t])  # sequences that end here
-        if len(ratio):
-            x = e[at[: len(ratio)] + 1] * ratio
-            old[: len(ratio)] = (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x)
-        ratio = old
-        behind[at] = ratio
-    return ahead, behind
+    at, begin = layout
+    m = np.exp(pair)
+    e = np.empty(len(at))
+    e[at] = np.exp(np.clip(emissions, -30, 30))
+    ahead, behind, begin = e.copy(), np.ones(len(at)), begin.tolist()
+    for a, b, c in zip(begin, begin[1:], begin[2:], strict=False):
+        r = ahead[a : a + c - b]
+        ahead[b:c] *= (m[0, 1] + r * m[1, 1]) / (m[0, 0] + r * m[1, 0])
+    for a, b, c in reversed(list(zip(begin, begin[1:], begin[2:], strict=False))):
+        x = e[b:c] * behind[b:c]
+        behind[a : a + c - b] = (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x)
+    return ahead[at], behind[at]
 
 
 def marginals(emissions: np.ndarray, counts: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """The probability of label 1 at each place."""
-    ahead, behind = ratios(emissions, counts, pair)
+    ahead, behind = ratios(emissions, laid(counts), pair)
     both = ahead * behind
     return both / (1 + both)
 
@@ -191,50 +191,60 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     marked = _marked(split, y, known)
     if not marked:
         return Model()
-    stretches: list[tuple[list[str], list[int]]] = []
-    for i, (words, t) in enumerate(zip(split, y.tolist(), strict=True)):
-        hit, done = [k for k, w in enumerate(words) if w in marked], -1
-        for at in hit[:40]:
-            if at > done:
-                lo, done = max(done + 1, at - AROUND), min(len(words) - 1, at + AROUND)
-                stretches.append((words[lo : done + 1], [int(t and words[k] in marked) for k in range(lo, done + 1)]))
-        if words and not t:
-            at = i * 7919 % len(words)
-            stretches.append((words[at : at + 4 * AROUND], [0] * len(words[at : at + 4 * AROUND])))
-    model = _trained(stretches, known)
-    del split, memo, stretches
+    model = _trained(split, y, marked, known)
     emit = Emissions(model)
     evidence = np.concatenate([_evidence([t.encode().split() for t in texts[k : k + 500]], emit, model)[0] for k in range(0, len(texts), 500)])
     return _curved(model, np.log(LITTLE + evidence), y)
 
 
-def _trained(stretches, known: Callable[[str], list[str]]) -> Model:
-    seen = Counter(f for words, _ in stretches for w in set(words) for f in known(w))
+def _sequences(split: list[list[str]], toxic: np.ndarray, marked: set[str]):
+    """Training sequences laid end to end: the word of each place as a number, the words, whether the place is labelled, and the sequences' lengths."""
+    number: dict[str, int] = {}
+    word = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words in split]
+    hit = np.fromiter((w in marked for w in number), bool, len(number))
+    places, labels, lengths = [np.empty(0, np.int64)], [np.empty(0, bool)], [0]
+    for at, t in zip(word, toxic.tolist(), strict=True):
+        near = np.ones(len(at), bool)
+        if t:
+            step = np.zeros(len(at) + 1, np.int64)
+            mine = np.flatnonzero(hit[at])
+            np.add.at(step, np.maximum(mine - AROUND, 0), 1)
+            np.add.at(step, np.minimum(mine + AROUND + 1, len(at)), -1)
+            near = np.cumsum(step[:-1]) > 0
+        kept = np.flatnonzero(near)
+        places.append(at[kept]), labels.append(hit[at[kept]] & t)
+        cut = np.append(np.flatnonzero(np.diff(kept) > 1) + 1, len(kept))
+        for n in np.diff(cut, prepend=0).tolist():
+            lengths += [STRETCH] * (n // STRETCH) + [n % STRETCH] * (n % STRETCH > 0)
+    return np.concatenate(places), list(number), np.concatenate(labels).astype(float), np.array(lengths, np.int64)
+
+
+def _trained(split: list[list[str]], toxic: np.ndarray, marked: set[str], known: Callable[[str], list[str]]) -> Model:
+    word, names, label, counts = _sequences(split, toxic, marked)
+    held = np.unique(word)
+    seen = Counter(f for i in held.tolist() for f in known(names[i]))
+    often = np.bincount(word, minlength=len(names))
+    for i in held.tolist():  # how many places have a feature
+        for f in known(names[i]) if often[i] > 1 else ():
+            seen[f] += int(often[i]) - 1
     number = {f: i for i, f in enumerate(f for f, n in seen.items() if n >= 3)}
-    counts = np.array([len(w) for w, _ in stretches])
-    label = np.array([x for _, tags in stretches for x in tags], float)
-    rows, columns, place = [], [], 0
-    for words, _ in stretches:
-        for w in words:
-            for f in known(w):
-                if f in number:
-                    rows.append(place), columns.append(number[f])
-            place += 1
-    rows, columns, n = np.array(rows, np.int64), np.array(columns, np.int64), len(label)
-    first = np.zeros(n, bool)
+    pairs = [(i, number[f]) for i in held.tolist() for f in known(names[i]) if f in number]
+    rows, columns = np.array(pairs, np.int64).reshape(-1, 2).T
+    n = len(label)
+    first = np.zeros(n + 1, bool)
     first[np.cumsum(counts) - counts] = True
-    prior = np.nonzero(~first)[0]  # places with one before them
-    weights, bias, pair = np.zeros(len(number)), -4.0, np.array([[0.5, 0.0], [0.0, 0.5]])
-    flat = np.concatenate([weights, [bias], pair.ravel()])
+    prior = np.nonzero(~first[:n])[0]  # places with one before them
+    layout, pair = laid(counts), np.array([[0.5, 0.0], [0.0, 0.5]])
+    flat = np.concatenate([np.zeros(len(number)), [-4.0], pair.ravel()])
     mean, square = np.zeros_like(flat), np.zeros_like(flat)
     seen_pairs = np.zeros((2, 2))
     np.add.at(seen_pairs, (label[prior - 1].astype(int), label[prior].astype(int)), 1)
     scale = max(1.0, label.sum())
     for step in range(1, STEPS + 1):
         weights, bias, pair = flat[: len(number)], flat[len(number)], flat[len(number) + 1 :].reshape(2, 2)
-        emissions = bias + np.bincount(rows, weights[columns], n)
-        p, edges = _expected(emissions, counts, pair, prior)
-        wrong = label - p
+        emissions = bias + np.bincount(rows, weights[columns], len(names))[word]
+        p, edges = _expected(emissions, layout, pair, prior)
+        wrong = np.bincount(word, label - p, len(names))  # summed by word, then by feature
         gradient = np.concatenate([np.bincount(columns, wrong[rows], len(number)) - 0.05 * weights, [wrong.sum()], (seen_pairs - edges - 0.05 * pair).ravel()]) / scale
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         flat = flat + 0.25 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
@@ -243,9 +253,9 @@ def _trained(stretches, known: Callable[[str], list[str]]) -> Model:
     return Model(kept, float(flat[len(number)]), flat[len(number) + 1 :].reshape(2, 2).copy())
 
 
-def _expected(emissions, counts, pair, prior):
+def _expected(emissions, layout, pair, prior):
     """Marginals, and the expected number of each label pair."""
-    ahead, behind = ratios(emissions, counts, pair)
+    ahead, behind = ratios(emissions, layout, pair)
     m = np.exp(pair)
     a, x = ahead[prior - 1], np.exp(np.clip(emissions[prior], -30, 30)) * behind[prior]
     joint = np.stack([np.full(len(prior), m[0, 0]), m[0, 1] * x, a * m[1, 0], a * m[1, 1] * x], 1)
@@ -281,7 +291,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
     pick = lambda y, n: rows.filter(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, max_toxic).unionByName(pick(0, max_clean))
     # at most max_toxic + max_clean ids
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_toxic")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("_toxic"))
 
 
 def held_out():
@@ -302,19 +313,21 @@ def spans(text: str, p: np.ndarray) -> list[dict]:
     return out
 
 
-def score(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
-    """docs with score, and spans: array<struct<start, stop, p>>."""
+def scored(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
+    """For each row of docs itself as the struct _row, with score, and spans: array<struct<start, stop, p>>."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("p", pa.float64())]))
 
     def run(batches):
         emit = Emissions(model)
         for batch in batches:
-            for part in common.slices(batch):
+            rows = batch.column("_row")
+            whole = pa.RecordBatch.from_arrays([rows, rows.field("text")], names=["_row", "text"])
+            for part in common.slices(whole):
                 if len(emit) > KEPT_WORDS:
                     emit.clear()
                 found = common.texts(part)
                 evidence, p, counts = _evidence([t.encode().split() for t in found], emit, model)
-                columns, names = [*part.columns, pa.array(model.scores(evidence))], [*part.schema.names, "score"]
+                columns, names = [part.column("_row"), pa.array(model.scores(evidence))], ["_row", "score"]
                 if with_spans:
                     ends = np.cumsum(counts)
                     some = np.maximum.reduceat(np.append(p, 0), np.minimum(ends - counts, len(p))) >= 0.5 if len(counts) else []
@@ -323,24 +336,36 @@ def score(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     extra = T._parse_datatype_string("score double" + ", spans array<struct<start:int,stop:int,p:double>>" * with_spans)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra.fields]))
+    rows = docs.select(F.struct("*").alias("_row"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *extra.fields]))
+
+
+def score(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
+    """docs with score, and spans: array<struct<start, stop, p>>."""
+    made = scored(docs, model, with_spans)
+    return made.select(*(common.of("_row", c) for c in docs.columns if c not in made.columns), *made.columns[1:])
 
 
 def trained(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """The model of a sample's documents, which one task learns; the driver gets its weights."""
 
     def run(batches):
-        rows = sorted((i, t or "", y) for batch in batches for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_toxic")), strict=True))
+        rows, size = [], 0
+        for batch in batches:
+            for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_toxic")), strict=True):
+                size += len(t.encode())
+                if size <= MAX_BYTES or not rows:
+                    rows.append((i, t, y))
+        rows.sort()
         yield pa.RecordBatch.from_arrays([pa.array([fit([r[1] for r in rows], [r[2] for r in rows]).to_json()])], names=["model"])
 
     sample = training_sample(docs, labels, max_toxic, max_clean)
-    learned = sample.repartition(1).mapInArrow(run, "model string").first()
+    learned = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "model string").first()
     return Model.from_json(learned[0]) if learned else Model()
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Every document's score and prediction."""
-    docs = common.table(spark, sf_dir, "documents")
+    """Every document's score and prediction, and the offending spans."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = trained(docs, common.table(spark, sf_dir, "labels"))
-    scored = score(docs.select("doc_id", "text"), model, with_spans=False)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")

@@ -4,7 +4,7 @@ import pytest
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars int"
 #: Columns with names that the operators use inside.
-CLASH = "_row string, _t string, _h1 string, _salt string, _size string, node string, gram string, band string, place string, size string, spare array<string>"
+CLASH = "_row string, _t string, _h1 string, _salt string, _size string, node string, gram string, band string, place string, size string, score double, _lines string, _gone string, spans string, ids string, r string, key string, _doc string, _digest string, spare array<string>"
 VOCABULARY = [a + b + c for a in ("ba", "tor", "mi", "kel", "su") for b in ("na", "lo", "", "vin") for c in ("r", "st", "m", "ka")]
 
 
@@ -27,7 +27,7 @@ def frame(spark):
     """Rows as a documents table with further columns of clashing names."""
 
     def make(rows):
-        rows = [(*r, *["?"] * 10, ["?"]) for r in rows]
+        rows = [(*r, *["?"] * 10, 0.5, *["?"] * 8, ["?"]) for r in rows]
         return spark.createDataFrame(rows, f"{DOCUMENT}, {CLASH}")
 
     return make

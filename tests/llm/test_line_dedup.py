@@ -46,20 +46,50 @@ def test_rows_of_one_id_are_one_document(frame):
     assert {r["_lines"]["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()} == {0}
 
 
-def test_runs_are_compacted(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
+@pytest.mark.parametrize(("fanout", "levels"), [(2, [1, 0, 1]), (3, [2, 1])])
+def test_runs_are_compacted(spark, fanout, levels):
+    runs = line_dedup.LineRuns(spark, fanout)
     keys = lambda lo: spark.range(lo, lo + 10).selectExpr("id AS _h1", "-id AS _h2", "id AS _first")
     for k in range(5):
         runs.add(keys(100 * k))
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert runs.known().count() == 50
+    assert [len(level) for level in runs.levels] == levels
+    held = sorted(tuple(r) for run in runs.runs() for r in run.collect())
+    assert held == [(i, -i, i) for k in range(5) for i in range(100 * k, 100 * k + 10)]
+
+
+def test_joins_with_runs_move_and_sort_nothing(spark):
+    from chronoweir.llm import common
+
+    runs = line_dedup.LineRuns(spark, 4)
+    for k in range(2):
+        runs.add(spark.range(100 * k, 100 * k + 50).selectExpr("id AS _h1", "-id AS _h2", "id AS _first").repartition("_h1", "_h2"))
+    with common.sorted_buckets(spark):
+        a, b = runs.runs()
+        for kind in ("left_anti", "left_semi", "full"):
+            plan = a.join(b.hint("merge"), ["_h1", "_h2"], kind)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort " not in plan
+
+
+def test_a_later_call_knows_the_lines_of_an_earlier_one(spark, frame):
+    from chronoweir.llm import common
+
+    root = common.fresh_path(spark, "lines-of-two-calls")
+    rng = random.Random(4)
+    rows = [(i, "\n".join(rng.choice([f"a line that many have {rng.randrange(30)}", f"only {rng.random()}"]) for _ in range(4)), "en", "s", 0) for i in range(90)]
+    got = []
+    for part in (rows[:30], rows[30:60], rows[60:]):
+        found = line_dedup.dedup_lines(frame(part), batches=2, root=root)
+        got += [(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in found.select("doc_id", "_lines.*").collect()]
+    assert sorted(got) == brute([r[:2] for r in rows])
 
 
 def test_digest(spark, tables):
     at, rows = tables["odd"]
-    want = {i: hashlib.sha256(t.encode()).hexdigest() for i, *_, t in brute([(r[0], r[1]) for r in rows if r[0] is not None])}
-    got = {r["doc_id"]: r["kept_sha256"] for r in line_dedup.op4_line_dedup(spark, at).collect()}
-    assert {k: v for k, v in got.items() if k is not None} == want
+    last = 2**63 - 1  # a null id follows all others
+    want = brute([(last if r[0] is None else r[0], r[1]) for r in rows])
+    want = sorted((i, n, gone, hashlib.sha256(t.encode()).hexdigest()) for i, n, gone, t in want)
+    got = sorted((last if r[0] is None else r[0], *r[1:]) for r in line_dedup.op4_line_dedup(spark, at).collect())
+    assert got == want
 
 
 def test_sweep(spark, frame):

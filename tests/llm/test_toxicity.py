@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from pathlib import Path
 
@@ -56,6 +57,34 @@ def test_learns_tags_and_scores():
     assert toxicity.Model.from_json(model.to_json()).scores(evidence).tolist() == model.scores(evidence).tolist()
 
 
+def test_all_marked_words_and_all_clean_words_are_trained_on():
+    split = [["bad"] * 41 + ["w"] * 30 + ["bad"], ["c%d" % i for i in range(300)]]
+    word, names, label, counts = toxicity._sequences(split, np.array([True, False]), {"bad"})
+    assert label.sum() == 42 and counts.sum() == len(word) and counts.max() <= toxicity.STRETCH
+    assert {names[i] for i in word} == {"bad", "w", *split[1]}
+    assert len(word) == 41 + 8 + 8 + 1 + 300
+
+
+def test_plain_score():
+    """The score by forward and backward sums in plain Python."""
+    model = toxicity.fit(*labelled(1, 300))
+    for text in [*labelled(4, 12)[0], "", "one"]:
+        words = text.split()
+        e = [math.exp(min(30, max(-30, model.bias + sum(model.weights.get(f, 0) for f in toxicity.features(w))))) for w in words]
+        m = np.exp(model.pair)
+        ahead, behind = [], []
+        for x in e:
+            ahead.append(np.array([1, x]) * (ahead[-1] @ m if ahead else 1))
+            ahead[-1] /= ahead[-1].sum()
+        for x in reversed([*e[1:], None] if e else []):
+            behind.insert(0, np.ones(2) if x is None else m @ (np.array([1, x]) * behind[0]))
+            behind[0] /= behind[0].sum()
+        p = [(a * b)[1] / (a * b).sum() for a, b in zip(ahead, behind, strict=True)]
+        want = 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * math.log(0.3 + sum(x * x for x in p)))))
+        emit = toxicity.Emissions(model)
+        assert abs(model.scores(toxicity._evidence([text.encode().split()], emit, model)[0])[0] - want) < 1e-9
+
+
 def test_nothing_to_learn_from():
     for texts, y in (([], []), (["a b"], [1]), (["a", "b"], [0, 0])):
         model = toxicity.fit(texts, y)
@@ -94,4 +123,4 @@ def test_held_out_accuracy(spark):
     rank = np.argsort(np.argsort(s))
     auc = (rank[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))
     print(f"held out: {len(y)} documents, {y.sum()} toxic; recall {recall:.3f}, false alarms {false:.4f}, area {auc:.4f}")
-    assert recall > 0.85 and false < 0.02 and auc > 0.95
+    assert recall >= 0.9 and false < 0.02 and auc > 0.95
