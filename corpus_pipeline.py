@@ -15,18 +15,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the threshold. The model learns from the labelled documents among them."""
     model = toxicity.trained(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, with_spans=False).filter(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.scored(docs, model, with_spans=False).filter(F.col("score") < toxicity.THRESHOLD).select("_row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that earlier documents hold; n_chars follows the text. A document that had a word and has none left was nothing but copies, and goes."""
     words = lambda c: F.length(F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(common.SPACE))) > 0
-    left = line_dedup.dedup_lines(docs)
-    left = left.filter(words("_lines.text") | ~words("text"))
+    left = line_dedup.lines_left(docs)
+    left = left.filter(words("_lines.text") | ~words("_row.text"))
     changed = F.col("_lines.n_dropped") > 0
-    text = F.when(changed, F.col("_lines.text")).otherwise(F.col("text"))
-    chars = F.when(changed, F.char_length("_lines.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumns({"text": text, "n_chars": chars}).select(docs.columns)
+    text = F.when(changed, F.col("_lines.text")).otherwise(F.col("_row.text"))
+    chars = F.when(changed, F.char_length("_lines.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    now = {"text": text.alias("text"), "n_chars": chars.alias("n_chars")}
+    return left.select(*(now.get(c, common.of("_row", c)) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir, each written to the shared folder and read by the next."""
+    """The stages over the documents of sf_dir, each written to the shared folder and read by the next. What a stage has stored for itself is deleted when its result is written."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = common.mark()
         docs = common.stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        common.sweep(spark, mark, but_last=1)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
