@@ -9,7 +9,7 @@ Every window has an anchor, the place of the least hash among its GRAM-byte stri
 3. Contents of a gram that has several: windows at the edge of repeated passages. One run of each content goes to the gram's collection, unless there are more than KINDS of them. Then runs are cut into groups of GROUPS[0] neighbouring windows by their offset from the anchor, which are judged by their core (the bytes that all have) and content as runs are, then into smaller groups, and last into windows, whose content is their core: so a passage in a third of all texts has collections of bounded size too.
 4. Collections are decided in their tasks, which read them one after the other from Spark's sorted shuffle, some at a time as one transform of at most SYMBOLS places. Where a witness has more strings than that, it goes with each part of them.
 
-The method's external files: a transform that is bounded by SYMBOLS takes under 2 MB, so it stays in memory, and the files that tasks read in sequence are the shuffle's. One transform of all texts would take a round over all that is built so far for each 25 bytes of the longest text; equal windows have equal anchors, so transforms by anchor find the same.
+The method's external files: a transform that is bounded by SYMBOLS takes under 2 MB, so it stays in memory, and the files that tasks read in sequence are the shuffle's. One transform of all texts would take a round over all that is built so far for each symbol of the longest text; equal windows have equal anchors, so transforms by anchor find the same.
 
 Texts are shuffled once, to a table bucketed by a number given to each row, which all later steps join without another shuffle.
 

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from chronoweir.llm import bwt
 from chronoweir.llm.bwt import repeated, transform
 
 
@@ -25,7 +27,7 @@ def found(strings, cap):
         before += [0, *(x + 1 for x in s)]
         at += len(s) + 1
         ends.append(at - 1)
-    place, prefix = transform(np.array(before, np.uint16), np.array(ends), 1, cap)
+    place, prefix = transform(np.array(before, np.uint16), np.arange(-1, len(before) - 1, dtype=np.int32), np.array(ends), cap)
     flat = [s[i:] for s in strings for i in range(len(s) + 1)]
     return [flat[p] for p in place.tolist()], prefix.tolist()
 
@@ -43,11 +45,11 @@ def test_longer_strings():
     assert found(strings, 200) == brute(strings, 200)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.integers(0, 2**32), st.sampled_from([50, 75, 100]))
-def test_windows_of_stretches(seed, width):
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([100, 150, 200]), st.booleans())
+def test_windows_of_stretches(seed, width, collide):
     rng = random.Random(seed)
-    base = bytes(rng.choice(b"ab") for _ in range(220))
+    base = bytes(rng.choice(b"ab") for _ in range(400))
     strings, owner, place = [], [], []
     for i in range(rng.randrange(1, 9)):
         a = rng.randrange(100)
@@ -62,5 +64,8 @@ def test_windows_of_stretches(seed, width):
             for i in range(len(s) - width + 1):
                 at.setdefault(s[i : i + width], set()).add((o, p + i))
         want = [len(at[s[i : i + width]]) > 1 for s in strings for i in range(len(s) - width + 1)]
-        got = repeated(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), np.array(owner), np.array(place), width)
+        with pytest.MonkeyPatch.context() as patch:
+            if collide:  # words with one hash are told apart
+                patch.setattr(bwt, "mixed", lambda x: x & np.uint64(3))
+            got = repeated(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), np.array(owner), np.array(place), width)
         assert got.tolist() == want
