@@ -37,9 +37,24 @@ def context_rows(df: DataFrame, spec: SeriesSpec, column: str, length: int, stri
     return contexts(df, spec, column, length, stride).select(*spec.partition_cols, "start", F.posexplode("context").alias("step", "value"))
 
 
-def context_view(df: DataFrame, spec: SeriesSpec, length: int, start: int = 0) -> DataFrame:
-    """The rows start to start + length of each series."""
+def shortest(df: DataFrame, spec: SeriesSpec) -> int:
+    """Rows of the shortest series."""
+    spec.check(df)
+    return df.groupBy(*spec.partition_cols).count().agg(F.min("count")).first()[0] or 0
+
+
+def _enough(df: DataFrame, spec: SeriesSpec, length: int) -> None:
+    if (n := shortest(df, spec)) < length:
+        raise ValueError(f"Need at least {length} rows, got {n}")
+
+
+def context_view(df: DataFrame, spec: SeriesSpec, length: int, start: int = 0, check: bool = False) -> DataFrame:
+    """The rows start to start + length of each series; with check, a series that ends before is an error."""
     _sizes(length=length)
+    if start < 0:
+        raise ValueError(f"Invalid start {start}")
+    if check and start + length > (n := shortest(df, spec)):
+        raise ValueError(f"Invalid start {start}: {n} rows have no {length} from there")
     return spec.indexed(df, "_i").filter((F.col("_i") >= start) & (F.col("_i") < start + length)).drop("_i")
 
 
@@ -48,9 +63,7 @@ def latest_context(df: DataFrame, spec: SeriesSpec, length: int, check: bool = F
     _sizes(length=length)
     spec.check(df)
     if check:
-        shortest = df.groupBy(*spec.partition_cols).count().agg(F.min("count")).first()[0] or 0
-        if shortest < length:
-            raise ValueError(f"Need at least {length} rows, got {shortest}")
+        _enough(df, spec, length)
     if not spec.partition_cols:
         return df.orderBy(*(F.col(c).desc() for c in spec.order)).limit(length)
     back = Window.partitionBy(*spec.partition_cols).orderBy(*(F.col(c).desc() for c in spec.order))
@@ -85,10 +98,11 @@ class ContextBridge:
         self.context_length, self.prediction_length, self.stride = context_length, prediction_length, stride
 
     def contexts(self, df: DataFrame) -> DataFrame:
+        _enough(df, self.spec, self.context_length)
         return contexts(df, self.spec, self.column, self.context_length, self.stride)
 
     def context_view(self, df: DataFrame, start: int = 0) -> DataFrame:
-        return context_view(df, self.spec, self.context_length, start)
+        return context_view(df, self.spec, self.context_length, start, check=True)
 
     def latest_context(self, df: DataFrame) -> DataFrame:
         return latest_context(df, self.spec, self.context_length, check=True)

@@ -1,6 +1,6 @@
 """Lags, rolling, exponential, weighted and expanding means as window columns.
 
-All look backwards only. A frame that is one series is cut into runs of rows, each with the last rows of the run before it (a halo), so that bounded look-back never needs all rows in one task; see FeatureWindow.transform.
+All look backwards only. A frame that is one series is cut into runs of rows, each with the last rows of the run before it (a halo), so that look-back never needs all rows in one task: FeatureWindow.transform(), add_duration_mean() and add_expanding() do so. The functions that give columns are for series with keys; without keys their window is one task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durations import duration_micros
-from .spec import SeriesSpec, micros, require
+from .spec import Bins, SeriesSpec, micros, require
 
 #: Look-back beyond which an exponential mean is made by a pass in pandas.
 MAX_EMA_ROWS = 2_000
@@ -181,18 +181,43 @@ class FeatureWindow:
         return append(df, {n: e for c in columns for n, e in self.expressions(c).items()}, include_original)
 
     def _in_runs(self, df: DataFrame, columns: list[str], include_original: bool, run_rows: int) -> DataFrame:
-        halo = self.look_back()
-        size = max(run_rows, halo, 1)
-        rows = self.spec.indexed(df, "_i")
-        run = F.floor(F.col("_i") / size)
-        runs = F.when(F.col("_i") % size >= size - halo, F.array(run, run + 1)).otherwise(F.array(run)) if halo else F.array(run)
-        rows = rows.withColumn("_run", F.explode(runs))
-        spec = SeriesSpec("_i", ["_run"])
+        rows = Bins(df, self.spec).runs(df, run_rows, self.look_back())
+        spec = SeriesSpec(self.spec.time_col, ["_run"], self.spec.tie_breakers)
         made = {n: e for c in columns for n, e in self.expressions(c, spec).items()}
-        rows = append(rows, made).filter(F.col("_run") == F.floor(F.col("_i") / size))
+        rows = append(rows, made).filter("_own")
         return rows.select(*(F.col(f"`{n}`") for n in ([*df.columns, *made] if include_original else made)))
 
 
+def add_duration_mean(df: DataFrame, spec: SeriesSpec, column: str, duration: str | int, name: str = "rolling_mean", run_rows: int = RUN_ROWS) -> DataFrame:
+    """df with rolling_mean_duration(). A frame that is one series is cut into runs, each with the rows of the time before it."""
+    spec.check(df, column)
+    if spec.partition_cols:
+        return append(df, {name: rolling_mean_duration(df, spec, column, duration)})
+    span = duration_micros(duration) if isinstance(duration, str) else _positive(duration)
+    rows = Bins(df, spec, by_ties=False).spans(df, run_rows, span)
+    made = append(rows, {name: rolling_mean_duration(df, SeriesSpec(spec.time_col, ["_run"]), column, duration)})
+    return made.filter("_own").drop("_run", "_own")
+
+
+def add_expanding(df: DataFrame, spec: SeriesSpec, column: str, total_length: bool = False) -> DataFrame:
+    """df with {column}_cumulative and {column}_expanding_mean. In a frame that is one series, sums start from those of the bins before."""
+    spec.check(df, column)
+    names = f"{column}_cumulative", f"{column}_expanding_mean"
+    if spec.partition_cols:
+        return append(df, dict(zip(names, (cumulative_sum(spec, column), expanding_mean(spec, column, total_length)), strict=True)))
+    bins = Bins(df, spec)
+    # one row a bin
+    totals = df.select(bins.bin.alias("_bin"), F.col(column).alias("_v")).groupBy("_bin").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_c"))
+    earlier = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_bin", F.sum("_s").over(earlier).alias("_s"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_c"))
+    w = Window.partitionBy("_bin").orderBy(*spec.order).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum(column).over(w)
+    total = F.when(F.col("_s").isNull(), own).otherwise(F.col("_s") + F.coalesce(own, F.lit(0)))
+    count = F.lit(bins.n) if total_length else F.col("_c") + F.count(column).over(w)
+    rows = df.withColumn("_bin", bins.bin).join(F.broadcast(totals), "_bin").withColumns({names[0]: total, "_n": count})
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns), names[0], F.try_divide(F.col(names[0]), F.col("_n")).alias(names[1]))
+
+
 def feature_window(spec: SeriesSpec, lags: Sequence[int], rolling: Sequence[int] | None = None) -> FeatureWindow:
     return FeatureWindow(spec, lags, rolling)
 

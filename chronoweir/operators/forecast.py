@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import importlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -86,9 +87,10 @@ class BatchPredictor:
             import pandas as pd
 
             train = pdf.sort_values(order, kind="stable")[column].tolist()
-            if hasattr(model, "fit"):
-                model.fit(train)
-            f = Forecast.of(model.predict(train, horizon))
+            own = copy.deepcopy(model)  # what a series has taught a model is nothing to the next one
+            if hasattr(own, "fit"):
+                own.fit(train)
+            f = Forecast.of(own.predict(train, horizon))
             return pd.DataFrame([(*key, f.point, f.lower, f.upper, f.confidence)], columns=[*keys, "point", "lower", "upper", "confidence"])
 
         rows = df.select(*self.spec.keys, column)
@@ -125,9 +127,11 @@ class EnsemblePredictor:
         self.weights = list(weights) if weights is not None else [1.0 / len(self.models)] * len(self.models)
 
     def combine(self, forecasts: DataFrame, keys: Sequence[str], model_col: str = "model", value_col: str = "yhat") -> DataFrame:
-        """(keys, point, lower, upper, confidence) from rows (keys, model, value)."""
+        """(keys, point, lower, upper, confidence) from rows (keys, model, value); a key without one of the models is an error."""
         weight = F.coalesce(*(F.when(F.col(model_col) == m, F.lit(float(w))) for m, w in zip(self.models, self.weights, strict=True)))
-        rows = forecasts.withColumn("_w", weight).filter("_w is not null").groupBy(*keys).agg(F.sum(F.col("_w") * F.col(value_col)).alias("point"))
+        rows = forecasts.withColumn("_w", weight).filter("_w is not null").groupBy(*keys).agg(F.sum(F.col("_w") * F.col(value_col)).alias("point"), F.count_distinct(model_col).alias("_n"))
+        missing = F.raise_error(F.concat(F.lit("models with a forecast: "), F.col("_n").cast("string"), F.lit(f" of {len(self.models)}"))).cast("double")
+        rows = rows.select(*keys, F.when(F.col("_n") == len(set(self.models)), F.col("point")).otherwise(missing).alias("point"))
         low, high = F.col("point") * 0.9, F.col("point") * 1.1
         return rows.select("*", F.least(low, high).alias("lower"), F.greatest(low, high).alias("upper"), F.lit(LEVEL).alias("confidence"))
 

@@ -2,19 +2,66 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spec import require
-
-
-def robust_parameters(column: str) -> tuple[Column, Column]:
-    """Median and interquartile range, interpolated, as aggregates."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return q[1], q[2] - q[0]
+from .spec import below, require
+
+
+#: Parts that a bracket is cut into by one pass, and values of a bracket that are looked at one by one.
+PARTS, FEW = 1024, 10_000
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float] | None:
+    """Interpolated quantiles; None if there is no value.
+
+    A first pass brackets them by an approximation and counts. Each further pass cuts the brackets of all wanted order statistics into PARTS and keeps the parts that hold them, until a bracket has FEW values or one; so the counts of PARTS intervals meet in the end, never the values.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    places = [p * (n - 1) for p in shares]
+    wanted = {k for p in places for k in (int(p), min(int(p) + 1, n - 1))}
+    found = {k: x for k, x in ((0, low), (n - 1, high)) if k in wanted}
+    # by bracket (low, high], with the number of values up to low: the order statistics in it
+    brackets = {(math.nextafter(low, -math.inf), high, 0): wanted - found.keys()}
+    first = True
+    while brackets := {b: k for b, k in brackets.items() if k}:
+        bounds = sorted({x for a, z, _ in brackets for x in _steps(a, z)})
+        if first:
+            near = sorted({min(max((k + d) / n, 0), 1) for k in wanted for d in (-n / 500, 0, n / 500)})
+            bounds = sorted({*bounds[:1], *values.agg(F.percentile_approx("v", near, 5000)).first()[0], *bounds[-1:]})
+            first = False
+        inside = sum((F.when((F.col("v") > a) & (F.col("v") <= z), 1).otherwise(0) for a, z, _ in brackets), F.lit(0)) > 0
+        counted = dict(values.filter(inside).select(below(bounds, F.col("v")).alias("b")).groupBy("b").count().collect())
+        rest: dict = {}
+        for (a, z, before), ks in brackets.items():
+            x, y = bisect_left(bounds, a), bisect_left(bounds, z)
+            for i in range(x + 1, y + 1):
+                c, mine = counted.get(i, 0), {k for k in ks if before <= k < before + counted.get(i, 0)}
+                if mine and math.nextafter(bounds[i - 1], math.inf) >= bounds[i]:
+                    found |= dict.fromkeys(mine, bounds[i])
+                elif mine and c <= FEW:
+                    part = sorted(r[0] for r in values.filter((F.col("v") > bounds[i - 1]) & (F.col("v") <= bounds[i])).collect())
+                    found |= {k: part[k - before] for k in mine}
+                elif mine:
+                    rest[bounds[i - 1], bounds[i], before] = mine
+                before += c
+        brackets = rest
+    at = lambda p: found[int(p)] + (p - int(p)) * (found[min(int(p) + 1, n - 1)] - found[int(p)])
+    return [at(p) for p in places]
+
+
+def _steps(low: float, high: float) -> list[float]:
+    """Bounds that cut (low, high] into parts, of few possible values if the ends are near each other."""
+    inner = {low + (high - low) * (i / PARTS) for i in range(1, PARTS)}
+    return [low, *sorted(x for x in inner if low < x < high), high]
 
 
 def standard_parameters(column: str) -> tuple[Column, Column]:
@@ -34,8 +81,7 @@ class Scale:
     def fit(self, data: DataFrame | Sequence[float]) -> Scale:
         if isinstance(data, DataFrame):
             require(data, self.column)
-            of = robust_parameters if self.method == "robust" else standard_parameters
-            center, scale = data.agg(*(c.alias(n) for n, c in zip("cs", of(self.column), strict=True))).first()
+            center, scale = fitted(data, self.column, self.method)
             if center is None:
                 raise ValueError("cannot fit on empty data")
         else:
@@ -63,13 +109,25 @@ class Scale:
         return self.fit(data).transform(data)
 
 
+def fitted(df: DataFrame, column: str, method: str) -> tuple[float | None, float | None]:
+    """Centre and scale of a column's values."""
+    if method == "robust":
+        low, center, high = exact_quantiles(df, column, [0.25, 0.5, 0.75]) or [None] * 3
+        return center, None if center is None else high - low
+    return tuple(df.agg(*(c.alias(n) for n, c in zip("cs", standard_parameters(column), strict=True))).first())
+
+
 def scaled(df: DataFrame, column: str, method: str = "standard", name: str | None = None) -> DataFrame:
-    """df with a scaled column, in one plan: the parameters are one broadcast row."""
+    """df with a scaled column. Standard parameters are one broadcast row of the same plan; robust ones are found by some passes before."""
     require(df, column)
-    center, scale = (robust_parameters if method == "robust" else standard_parameters)(column)
+    name = name or f"{column}_scaled"
+    if method == "robust":
+        center, scale = fitted(df, column, method)
+        return df.withColumn(name, (F.col(column) - F.lit(center)) / F.lit(scale or 1.0))
+    center, scale = standard_parameters(column)
     row = df.agg(center.alias("_center"), scale.alias("_scale"))
     value = (F.col(column) - F.col("_center")) / F.when(F.col("_scale") == 0, 1.0).otherwise(F.col("_scale"))
-    return df.crossJoin(F.broadcast(row)).withColumn(name or f"{column}_scaled", value).drop("_center", "_scale")
+    return df.crossJoin(F.broadcast(row)).withColumn(name, value).drop("_center", "_scale")
 
 
 def normalize(df: DataFrame, column: str, partition_cols: Sequence[str] = ()) -> DataFrame:

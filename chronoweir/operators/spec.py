@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Parts that an unpartitioned series is cut into for finding positions, at least and at most; between them twice the shuffle partitions.
-CUTS, MOST_CUTS = 64, 4096
+#: Bins that a series over a whole frame is cut into, at least and at most; between them 16 times the shuffle partitions. And bins by tie-breakers that a time with very many rows is cut into, and how many such times are.
+BINS, MOST_BINS, SUB_BINS, HEAVY = 64, 4096, 256, 64
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -23,10 +25,16 @@ def require(df: DataFrame, *columns: str) -> None:
 
 
 def micros(df: DataFrame, column: str) -> Column:
-    """A time column as a long: microseconds for dates and timestamps, integers as they are."""
+    """A time column as a long: microseconds for dates and timestamps, integers as they are. A timestamp without zone is counted from an epoch without zone, so that clock changes of the session's zone don't move it."""
     kind = df.schema[column].dataType
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp"))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("long") * 86_400_000_000
+    if isinstance(kind, T.TimestampNTZType):
+        since = F.col(column) - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+        days, hours, minutes, seconds = (F.extract(F.lit(u), since) for u in ("DAY", "HOUR", "MINUTE", "SECOND"))
+        return ((days.cast("long") * 24 + hours) * 60 + minutes) * 60_000_000 + (seconds * 1_000_000).cast("long")
     if isinstance(kind, T.IntegralType):
         return F.col(column).cast("long")
     raise TypeError(f"Column '{column}' is neither a time nor an integer")
@@ -70,20 +78,88 @@ class SeriesSpec:
     def indexed(self, df: DataFrame, name: str = "_i") -> DataFrame:
         """df with each row's position in its series, from 0.
 
-        One series over the whole frame is cut at quantiles of its times; the parts are counted and numbered each by itself, so no task sees all rows.
+        One series over the whole frame is cut into bins, which are counted and numbered each by itself, so no task sees all rows.
         """
         self.check(df)
         if self.partition_cols:
             return df.withColumn(name, F.row_number().over(self.window()).cast("long") - 1)
-        t = micros(df, self.time_col)
-        n = min(MOST_CUTS, max(CUTS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        bins = Bins(df, self)
+        rows = bins.joined(df, [(b, before) for b, before in zip(bins.ids, bins.before, strict=True)], "_before long")
+        number = F.row_number().over(Window.partitionBy("_bin").orderBy(*self.order)) - 1
+        return rows.withColumn(name, F.col("_before") + number).select(*(F.col(f"`{c}`") for c in df.columns), name)
+
+
+class Bins:
+    """A frame that is one series, cut into bins of neighbouring rows: at quantiles of time, and a time that holds many rows at quantiles of the first tie-breaker, if that is a number or a time.
+
+    Two or three small jobs find the cuts and count the rows of each bin; at most MOST_BINS + HEAVY * SUB_BINS numbers come to the driver. A row's bin is a function of its own columns.
+    """
+
+    def __init__(self, df: DataFrame, spec: SeriesSpec, by_ties: bool = True):
+        t = micros(df, spec.time_col)
+        n = min(MOST_BINS, max(BINS, 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         shares = ", ".join(str(i / n) for i in range(1, n))
-        cuts = sorted(set(df.select(t.alias("t")).agg(F.expr(f"percentile_approx(t, array({shares}), 100000)")).first()[0] or []))
-        part = F.coalesce(below(cuts, t), F.lit(0))
-        df = df.withColumn("_part", part)
-        # one row for each of at most MOST_CUTS parts
-        sizes = df.groupBy("_part").count()
-        before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        sizes = F.broadcast(sizes.select("_part", before.alias("_before")))
-        number = F.row_number().over(Window.partitionBy("_part").orderBy(*self.order)) - 1
-        return df.join(sizes, "_part").withColumn(name, F.col("_before") + number).drop("_part", "_before")
+        found = df.select(t.alias("t")).agg(F.expr(f"percentile_approx(t, array({shares}), {20 * n})")).first()[0] or []
+        often = Counter(found)
+        heavy = sorted((c for c, k in often.items() if k > 1), key=lambda c: -often[c])[:HEAVY] if by_ties and spec.tie_breakers else []
+        kind = df.schema[spec.tie_breakers[0]].dataType if heavy else None
+        if not isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            heavy = []
+        self.cuts = sorted({*found, *(c - 1 for c in heavy)})
+        self.bin = F.coalesce(below(self.cuts, t), F.lit(0)).cast("long") * SUB_BINS
+        if heavy:
+            tie = micros(df, spec.tie_breakers[0])
+            shares = ", ".join(str(i / SUB_BINS) for i in range(1, SUB_BINS))
+            ties = df.select(t.alias("t"), tie.alias("x")).filter(F.col("t").isin(heavy)).groupBy("t").agg(F.expr(f"percentile_approx(x, array({shares}), {20 * SUB_BINS})").alias("c")).collect()
+            sub = F.lit(0)
+            for r in ties:
+                sub = F.when(t == r["t"], F.coalesce(below(sorted(set(r["c"] or [])), tie), F.lit(0))).otherwise(sub)
+            self.bin = self.bin + sub
+        counts = sorted(tuple(r) for r in df.select(self.bin.alias("b")).groupBy("b").count().collect())
+        self.ids, self.sizes = [b for b, _ in counts], [c for _, c in counts]
+        self.before = list(accumulate(self.sizes, initial=0))
+        self.n = self.before.pop()
+        self.spark = df.sparkSession
+
+    def joined(self, df: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
+        """df with _bin and what rows (bin, more) have for it."""
+        found = self.spark.createDataFrame(rows, f"_bin long, {columns}")
+        return df.withColumn("_bin", self.bin).join(F.broadcast(found), "_bin")  # one row a bin
+
+    def parts(self, least: int) -> list[int]:
+        """A part for each bin: neighbouring bins together have at least so many rows, the last part excepted."""
+        out, part, held = [], 0, 0
+        for size in self.sizes:
+            out.append(part)
+            held += size
+            if held >= least:
+                part, held = part + 1, 0
+        return out
+
+    def runs(self, df: DataFrame, least: int, halo: int) -> DataFrame:
+        """df's rows in runs (_run) of at least max(least, halo) rows, each with the last rows, at least halo, of the run before it, for which _own is false."""
+        part, needs = self.parts(max(least, halo, 1)), {}
+        for i, p in enumerate(part):
+            if i and p != part[i - 1] and halo:
+                k, held = i - 1, 0
+                while k >= 0 and held < halo:
+                    held += self.sizes[k]
+                    needs.setdefault(k, []).append(p)
+                    k -= 1
+        return self._dealt(df, part, needs)
+
+    def spans(self, df: DataFrame, least: int, span: int) -> DataFrame:
+        """The same with all rows whose time is up to `span` before the run's first. Needs bins by time alone."""
+        part, needs = self.parts(max(least, 1)), {}
+        last = lambda i: self.cuts[k] if (k := self.ids[i] // SUB_BINS) < len(self.cuts) else None
+        for i, p in enumerate(part):
+            if i and p != part[i - 1]:
+                k = i - 1
+                while k >= 0 and last(k) > last(i - 1) - span:
+                    needs.setdefault(k, []).append(p)
+                    k -= 1
+        return self._dealt(df, part, needs)
+
+    def _dealt(self, df: DataFrame, part: list[int], needs: dict[int, list[int]]) -> DataFrame:
+        rows = self.joined(df, [(b, p, [p, *needs.get(i, [])]) for i, (b, p) in enumerate(zip(self.ids, part, strict=True))], "_part long, _runs array<long>")
+        return rows.withColumn("_run", F.explode("_runs")).withColumn("_own", F.col("_run") == F.col("_part")).drop("_bin", "_part", "_runs")

@@ -147,6 +147,84 @@ class TemporalSplitter:
         return self.validator.check_feature_window(moment)
 
 
+@dataclass(frozen=True)
+class Folds:
+    """Folds over n rows by position: fold f trains on rows before min_train + f * step (the last min_train of them if rolling) and tests on the next `test` rows, while those are all there.
+
+    Rows find their folds by arithmetic, so folds cost neither a join nor a list; a row appears once for each fold that it is in.
+    """
+
+    min_train: int
+    test: int
+    step: int = 1
+    n_splits: int | None = None
+    rolling: bool = False
+
+    def __post_init__(self):
+        if self.min_train <= 0 or self.test <= 0 or self.step <= 0 or (self.n_splits is not None and self.n_splits <= 0):
+            raise ValueError("fold sizes and steps must be positive")
+
+    def count(self, n: int) -> int:
+        found = max(0, (n - self.test - self.min_train) // self.step + 1) if n >= self.test + self.min_train else 0
+        return found if self.n_splits is None else min(found, self.n_splits)
+
+    def train_of(self, i: Column, folds: int) -> Column:
+        """The folds, as an array, in which position i trains."""
+        first = F.greatest(F.floor((i - self.min_train) / self.step) + 1, F.lit(0))
+        last = F.least(F.floor(i / self.step), F.lit(folds - 1)) if self.rolling else F.lit(folds - 1)
+        return F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    def test_of(self, i: Column, folds: int) -> Column:
+        first = F.greatest(F.ceil((i - self.min_train - self.test + 1) / self.step), F.lit(0))
+        last = F.least(F.floor((i - self.min_train) / self.step), F.lit(folds - 1))
+        return F.when((first <= last) & (i >= self.min_train), F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    def assign(self, df: DataFrame, time_col: str, tie_breakers: Sequence[str] = ()) -> DataFrame:
+        """df's rows with _i, fold and is_test, once for each fold that has them."""
+        rows = SeriesSpec(time_col, (), tie_breakers).indexed(df, "_i")
+        folds = self.count(df.count())
+        if not folds:
+            return rows.select("*", F.lit(0).cast("long").alias("fold"), F.lit(False).alias("is_test")).limit(0)
+        i = F.col("_i")
+        both = F.concat(F.transform(self.train_of(i, folds), lambda f: F.struct(f.alias("fold"), F.lit(False).alias("is_test"))), F.transform(self.test_of(i, folds), lambda f: F.struct(f.alias("fold"), F.lit(True).alias("is_test"))))
+        return rows.withColumn("_f", F.explode(both)).select(*df.columns, "_i", "_f.fold", "_f.is_test")
+
+    def statistics(self, df: DataFrame, time_col: str, tie_breakers: Sequence[str] = ()) -> DataFrame:
+        """(fold, train_rows, test_rows, gap) by fold; the gap is from the last training time to the first test time.
+
+        One pass: of all positions only those at both sides of a fold's cut are kept.
+        """
+        spec, at = SeriesSpec(time_col, (), tie_breakers), F.col("_i") - self.min_train
+        rows = spec.indexed(df.select(*dict.fromkeys(spec.order)), "_i").select("_i", micros(df, time_col).alias("_t"))
+        sides = F.array(F.struct(at.alias("d"), F.lit(True).alias("first")), F.struct((at + 1).alias("d"), F.lit(False).alias("first")))
+        rows = rows.withColumn("_side", F.explode(sides)).filter((F.col("_side.d") >= 0) & (F.col("_side.d") % self.step == 0))
+        fold = F.floor(F.col("_side.d") / self.step).alias("fold")
+        found = rows.groupBy(fold).agg(F.max(F.when(~F.col("_side.first"), F.col("_t"))).alias("_last"), F.max(F.when(F.col("_side.first"), F.col("_t"))).alias("_first"))
+        train = F.lit(self.min_train).cast("long") if self.rolling else F.col("fold") * self.step + self.min_train
+        found = found.filter(F.col("fold") < self.count(df.count()))
+        return found.select("fold", train.cast("long").alias("train_rows"), F.lit(self.test).cast("long").alias("test_rows"), (F.col("_first") - F.col("_last")).alias("gap"))
+
+    def split(self, df: DataFrame, time_col: str, train_end: Moment, test_start: Moment | None = None) -> tuple[DataFrame, DataFrame]:
+        return temporal_split(df, time_col, train_end, test_start)
+
+    def __repr__(self) -> str:
+        return f"TemporalValidator(train_end={self.train_end}, test_start={self.test_start})"
+
+
+class TemporalSplitter:
+    """Boolean lists for plain Python lists of moments."""
+
+    def __init__(self):
+        self.validator = TemporalValidator()
+
+    def split(self, timestamps: Sequence[Moment], train_end: Moment, test_start: Moment) -> tuple[list[bool], list[bool]]:
+        self.validator.set_split(train_end, test_start)
+        return [t <= train_end for t in timestamps], [t >= test_start for t in timestamps]
+
+    def validate_feature(self, moment: Moment) -> bool:
+        return self.validator.check_feature_window(moment)
+
+
 @dataclass(frozen=True)
 class Folds:
     """Folds over n rows by position: fold f trains on rows before min_train + f * step (the last min_train of them if rolling) and tests on the next `test` rows, while those are all there.

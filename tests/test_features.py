@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chronoweir.functions.durations import duration_micros
 from chronoweir.operators import features
-from chronoweir.operators.spec import SeriesSpec
+from chronoweir.operators.spec import Bins, SeriesSpec, micros
 from chronoweir.sources.frames import ListWindow, from_list, to_list
 
 SPEC = SeriesSpec("seq")
@@ -114,10 +114,57 @@ def test_search_in_two_steps(spark):
         assert all(r["n"] == bisect_left(cuts, r["id"]) for r in rows)
 
 
-def test_positions_with_many_parts(spark, monkeypatch):
+def test_positions_with_many_bins(spark, monkeypatch):
     from chronoweir.operators import spec as module
 
-    monkeypatch.setattr(module, "CUTS", 200)
+    monkeypatch.setattr(module, "BINS", 200)
     rows = spark.range(3000).selectExpr("id * 37 % 1009 AS t", "id AS k").repartition(5)
     got = module.SeriesSpec("t", (), ["k"]).indexed(rows, "i").orderBy("t", "k").collect()
     assert [r["i"] for r in got] == list(range(3000))
+
+
+def test_a_time_of_many_rows_is_cut_by_its_tie_breaker(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN id ELSE 77 END AS t", "id AS k", "CAST(id % 11 AS DOUBLE) AS value").repartition(5)
+    spec = SeriesSpec("t", (), ["k"])
+    bins = Bins(rows, spec)
+    assert bins.n == 5000 and max(bins.sizes) < 300
+    assert [r["i"] for r in spec.indexed(rows, "i").orderBy("t", "k").collect()] == list(range(5000))
+    made = features.FeatureWindow(spec, [0, 40], [3]).transform(rows, "value", run_rows=100).orderBy("t", "k").collect()
+    assert len(made) == 5000
+    for i, r in enumerate(made):
+        assert r["value_lag_40"] == (made[i - 40]["value"] if i >= 40 else None) and r["value_lag_0"] == r["value"]
+        assert r["value_rolling_3"] == (None if i < 2 else sum(x["value"] for x in made[i - 2 : i + 1]) / 3)
+
+
+def test_one_series_in_runs_equals_one_window(spark):
+    rows = spark.range(2000).selectExpr("CAST(id * 7919 % 2003 AS LONG) * 5 AS t", "id AS k", "IF(id % 9 = 0, NULL, CAST(id % 13 AS DOUBLE)) AS value").repartition(4)
+    spec = SeriesSpec("t", (), ["k"])
+    one = rows.withColumns({"m": features.rolling_mean_duration(rows, spec, "value", 400), "c": features.cumulative_sum(spec, "value"), "e": features.expanding_mean(spec, "value"), "l": features.expanding_mean(spec, "value", total_length=True)})
+    want = {r["k"]: r for r in one.collect()}
+    got = features.add_duration_mean(rows, spec, "value", 400, run_rows=50).collect()
+    assert len(got) == 2000 and all(r["rolling_mean"] == pytest.approx(want[r["k"]]["m"]) for r in got)
+    for total, name in ((False, "e"), (True, "l")):
+        got = features.add_expanding(rows, spec, "value", total_length=total).collect()
+        assert len(got) == 2000 and all(r["value_cumulative"] == pytest.approx(want[r["k"]]["c"]) and r["value_expanding_mean"] == pytest.approx(want[r["k"]][name]) for r in got)
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "UTC"])
+def test_clock_changes_of_the_session_move_no_row(spark, zone):
+    """Hourly rows over both changes of the clock in 2024; a mean never has a later row."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for day in ("2024-03-10", "2024-11-03"):
+            times = [f"{day} {h:02d}:{m:02d}:00" for h in range(5) for m in (0, 15, 30, 45)]
+            df = spark.createDataFrame([(t, float(i)) for i, t in enumerate(times)], "s string, value double").selectExpr("to_timestamp_ntz(s) AS ts", "value", "'a' AS k")
+            got = df.withColumn("m", features.rolling_mean_duration(df, SeriesSpec("ts", ["k"]), "value", "1h")).orderBy("value").collect()
+            assert [r["m"] for r in got] == [sum(range(max(0, i - 3), i + 1)) / min(4, i + 1) for i in range(20)]
+            steps = df.select(micros(df, "ts").alias("t")).orderBy("t").collect()
+            assert {b["t"] - a["t"] for a, b in zip(steps, steps[1:])} == {900_000_000}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_micros_of_times(spark):
+    df = spark.sql("SELECT DATE'1969-12-30' AS d, TIMESTAMP_NTZ'1969-12-31 23:59:59.999999' AS n, TIMESTAMP_NTZ'2200-01-02 03:04:05.000006' AS f")
+    assert tuple(df.select(*(micros(df, c) for c in "dnf")).first()) == (-2 * 86_400_000_000, -1, (datetime(2200, 1, 2, 3, 4, 5, 6) - datetime(1970, 1, 1)) // timedelta(microseconds=1))
