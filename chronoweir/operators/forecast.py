@@ -117,6 +117,30 @@ class BatchPredictor:
         return contexts.mapInPandas(run, f"{kinds}, {FORECAST}" if kinds else FORECAST)
 
 
+def forward_batches(contexts: DataFrame, forward, horizon: int, batch_size: int = 32) -> DataFrame:
+    """Forecasts of rows with a context array by forward(batch, horizon), which gets up to batch_size contexts of one length as a float32 matrix and gives a row of `horizon` values for each. Workers hold one batch at a time, under the cap of their process."""
+    if batch_size <= 0:
+        raise ValueError("batch_size must be positive")
+    names = [c for c in contexts.columns if c != "context"]
+    kinds = ", ".join(f"`{k}` {contexts.schema[k].dataType.simpleString()}" for k in names)
+
+    def run(frames):
+        import numpy as np
+
+        from ..functions.tensors import MemoryGuard
+
+        for pdf in frames:
+            for _, rows in pdf.groupby(pdf["context"].map(len), sort=False):
+                for at in range(0, len(rows), batch_size):
+                    part = rows.iloc[at : at + batch_size]
+                    block = np.asarray(part["context"].tolist(), np.float32)
+                    with MemoryGuard.reserve(block.nbytes):
+                        found = np.asarray(forward(block, horizon), float).reshape(len(part), horizon)
+                    yield part[names].assign(point=list(found))
+
+    return contexts.mapInPandas(run, ", ".join(filter(None, [kinds, "point array<double>"])))
+
+
 class EnsemblePredictor:
     """A weighted sum of models' forecasts; weights are equal by default and aren't normalized. Bounds are 0.9 and 1.1 times the point, the lesser first."""
 

@@ -5,7 +5,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from chronoweir.plans import catalog
+from chronoweir.plans import catalog, checks  # noqa: F401  (checks adds its queries to the catalog)
 
 SF = "/root/testdata/sf0.001"
 
