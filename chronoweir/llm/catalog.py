@@ -18,6 +18,8 @@ QUERIES = {
 }
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op6_quality": quality.OP6_SQL,
     "op10_minhash": minhash.OP10_SQL,
 }

@@ -138,4 +138,31 @@ def judge(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int =
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     """Every document's counts and the verdict on it."""
-    return judge(common.table(spark, sf_dir, "documents"))
+    return judge(common.table(spark, sf_dir, "documents")).drop("longest")
+
+
+#: A repeated substring of MIN_WORDS words or more is made of repeated windows of MIN_WORDS, and there is one of over MAX_LONGEST words if a window of one word more repeats.
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{common.WORD}') AS w FROM documents
+), x AS (
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: md5_number(array_to_string(w[i : i + k - 1], ' ')))) AS h
+  FROM d, (VALUES (3), ({MIN_WORDS}), ({MAX_LONGEST + 1})) s(k) WHERE len(w) >= k
+), r AS (
+  SELECT doc_id, k, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, h) AS c FROM x) WHERE c > 1
+), c AS (
+  SELECT doc_id, k, sum(least(k, coalesce(following - i, k)))::BIGINT AS n FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id, k ORDER BY i) AS following FROM r) GROUP BY doc_id, k
+), p AS (
+  SELECT doc_id, max(n) FILTER (k = 3) AS n3, max(n) FILTER (k = {MIN_WORDS}) AS n8, max(n) FILTER (k = {MAX_LONGEST + 1}) AS n101 FROM c GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{common.WORD}') GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(n3, 0)::BIGINT AS n_repeat_words, coalesce(n8, 0)::BIGINT AS n_covered, n101 IS NOT NULL AS too_long
+  FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+)
+SELECT * EXCLUDE (too_long), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_covered <= {MAX_COVERED}::DOUBLE * n_words AND NOT too_long AS kept
+FROM m
+"""

@@ -353,3 +353,32 @@ _OUT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document's bytes, removed bytes and spans, and the digest of what is left."""
     return removed(common.table(spark, sf_dir, "documents"))
+
+
+#: Texts as two hexadecimal digits a byte; windows are cut out of blocks, as cutting takes time with the length of the whole.
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), b AS (
+  SELECT doc_id, n, block, substr(h, 2 * block + 1, 2398) AS part FROM (SELECT *, unnest(range(0, greatest(n - 199, 0), 1000)) AS block FROM d)
+), w AS (
+  SELECT doc_id, block + unnest(range(least(1000, n - 199 - block))) AS pos, unnest(list_transform(range(least(1000, n - 199 - block)), lambda k: md5_number(substr(part, 2 * k + 1, 400)))) AS s FROM b
+), r AS (
+  SELECT doc_id, pos FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
+), e AS (
+  SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 200, true) AS fresh FROM r
+), g AS (
+  SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM e
+), s AS (
+  SELECT doc_id, min(pos) AS a, max(pos) + 200 AS z FROM g GROUP BY doc_id, span
+), k AS (
+  SELECT doc_id, z AS start, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS stop FROM s
+  UNION ALL SELECT d.doc_id, 0, (SELECT min(a) FROM s WHERE s.doc_id = d.doc_id) FROM d
+), t AS (
+  SELECT d.doc_id, unhex(string_agg(substr(h, 2 * k.start + 1, 2 * (coalesce(k.stop, n) - k.start)), '' ORDER BY k.start)) AS kept FROM d JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id
+), c AS (
+  SELECT doc_id, sum(z - a) AS gone, count(*) AS spans FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(kept) AS kept_sha256
+FROM d JOIN t ON t.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
