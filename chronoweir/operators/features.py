@@ -18,7 +18,7 @@ from .spec import Bins, SeriesSpec, micros, require
 #: Look-back beyond which an exponential mean is made by a pass in pandas.
 MAX_EMA_ROWS = 2_000
 #: Rows of a run of one long series.
-RUN_ROWS = 100_000
+RUN_ROWS = 20_000
 
 
 def normalize_lags(lags: Sequence[int] | None) -> list[int]:

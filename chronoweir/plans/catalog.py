@@ -60,7 +60,7 @@ def lag_features(spark, sf_dir):
 
 @query(f"SELECT event_id, {_lags('ORDER BY ts, event_id', (0, 1, 30))} FROM events")
 def lag_global(spark, sf_dir):
-    return features.FeatureWindow(ALL, [0, 1, 30]).transform(_t(spark, sf_dir, "events").select("event_id", "ts", "value"), "value", include_original=True, run_rows=2_000).select("event_id", "value_lag_0", "value_lag_1", "value_lag_30")
+    return features.FeatureWindow(ALL, [0, 1, 30]).transform(_t(spark, sf_dir, "events").select("event_id", "ts", "value"), "value", include_original=True).select("event_id", "value_lag_0", "value_lag_1", "value_lag_30")
 
 
 @query(f"SELECT user_id, event_id, {_rolling(W, 7)} FROM events")
