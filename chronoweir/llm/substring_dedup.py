@@ -7,7 +7,7 @@ Every window has an anchor, the place of the least hash among its GRAM-byte stri
 1. Runs whose anchor's gram occurs once can't repeat. The others are judged by gram and content (a hash of the run's bytes).
 2. Runs of a content that comes twice or more are copies, it seems: each is to be compared with a witness, another run of that content. Witnesses are chosen in parts of a content, as many as the root of the number of rows, so that no witness has too many runs. In a text the runs whose witnesses follow each other in one text are one stretch, cut where the witness passes a multiple of SPAN, so a copied text goes out about one and a half times.
 3. Contents of a gram that has several: windows at the edge of repeated passages. One run of each content goes to the gram's collection, unless there are more than KINDS of them. Then runs are cut into groups of GROUPS[0] neighbouring windows by their offset from the anchor, which are judged by their core (the bytes that all have) and content as runs are, then into smaller groups, and last into windows, whose content is their core: so a passage in a third of all texts has collections of bounded size too.
-4. Collections are decided in their tasks, which read them one after the other from Spark's sorted shuffle, some at a time as one transform of at most SYMBOLS places. Where a witness has more strings than that, it goes with each part of them.
+4. Collections are decided in their tasks, which read them one after the other from Spark's sorted shuffle, some at a time as one transform of at most SYMBOLS places. Strings of the same bytes (compared, not hashed) stand as one in it, with all their places. Where a witness has more strings than that, it goes with each part of them.
 
 The method's external files: a transform that is bounded by SYMBOLS takes under 2 MB, so it stays in memory, and the files that tasks read in sequence are the shuffle's. One transform of all texts would take a round over all that is built so far for each symbol of the longest text; equal windows have equal anchors, so transforms by anchor find the same.
 
@@ -246,23 +246,34 @@ def decided(found: DataFrame) -> DataFrame:
     """(r, place) of the stretches of windows that repeat among strings(); a key is in one task."""
 
     def decide(rows: pa.Table):
-        rows = rows.combine_chunks()
         key, lead, r, place = (rows.column(c).to_numpy() for c in ("key", "lead", "r", "place"))
-        raw = rows.column("bytes").chunk(0)
-        lengths = pa.compute.binary_length(raw).to_numpy().astype(np.int64)
-        for chosen in _cut(key, lead, lengths):
-            mine = raw.take(pa.array(chosen))
-            offsets = np.frombuffer(mine.buffers()[1], np.int32, len(mine) + 1, mine.offset * 4)
-            data = np.frombuffer(mine.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            first, n = place[chosen] >> 16, place[chosen] & 0xFFFF
-            hit = bwt.repeated(data, lengths[chosen], np.unique(r[chosen], return_inverse=True)[1], first, LENGTH)
-            row = np.repeat(np.arange(len(chosen)), n)[hit]
-            step = (np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n))[hit]
+        raw, first, n = rows.column("bytes").to_pylist(), place >> 16, place & 0xFFFF
+        # strings of the same bytes stand as one in a transform; if they are from several places, all their windows repeat
+        seen: dict[tuple[int, bytes], int] = {}
+        model = np.fromiter((seen.setdefault(x, i) for i, x in enumerate(zip(key.tolist(), raw, strict=True))), np.int64, len(raw))
+        many = np.zeros(len(raw), bool)
+        many[model[(r != r[model]) | (first != first[model])]] = True
+        one = np.flatnonzero(model == np.arange(len(raw)))
+        lengths = np.fromiter((len(raw[i]) for i in one.tolist()), np.int64, len(one))
+        found = [np.stack([x := one[many[one]], np.zeros(len(x), np.int64), n[x]])]
+        for chosen in _cut(key[one], lead[one], lengths):
+            size, chosen = lengths[chosen], one[chosen]
+            data = np.frombuffer(b"".join([raw[i] for i in chosen.tolist()]), np.uint8)
+            hit = bwt.repeated(data, size, np.unique(r[chosen], return_inverse=True)[1], first[chosen], LENGTH)
+            windows = n[chosen]
+            hit &= np.repeat(~many[chosen], windows)
+            row = np.repeat(chosen, windows)[hit]
+            step = (np.arange(len(hit)) - np.repeat(np.cumsum(windows) - windows, windows))[hit]
             if len(row):
                 fresh = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)]))
-                size = np.diff(np.append(fresh, len(row)))
-                row, step = row[fresh], step[fresh]
-                yield pa.RecordBatch.from_arrays([pa.array(r[chosen][row]), pa.array(((first[row] + step) << 16) | size)], names=["r", "place"])
+                found.append(np.stack([row[fresh], step[fresh], np.diff(np.append(fresh, len(row)))]))
+        row, step, size = np.concatenate(found, 1)
+        order = np.argsort(row, kind="stable")
+        count = np.bincount(row, minlength=len(raw))
+        begin, mine = np.cumsum(count) - count, count[model]
+        at = np.repeat(np.arange(len(raw)), mine)
+        chosen = order[np.repeat(begin[model] - (np.cumsum(mine) - mine), mine) + np.arange(len(at))]
+        yield pa.RecordBatch.from_arrays([pa.array(r[at]), pa.array(((first[at] + step[chosen]) << 16) | size[chosen])], names=["r", "place"])
 
     def go(batches):
         held: list[pa.RecordBatch] = []

@@ -48,6 +48,14 @@ def test_mixed_texts():
         check("".join(rng.choice([prose(rng, 3), *TRICKY, chr(rng.randrange(32, 0xD000))]) for _ in range(6)))
 
 
+def test_all_code_points():
+    """Between letters, digits and spaces, as the library sorts them into letters, digits and others."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 4000):
+        text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}b " for c in points[k : k + 4000])
+        assert VOCABULARY.encode(text) == library_ids(text), hex(points[k])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcehinrst '", min_size=1, max_size=96))
 def test_scan_equals_heap(word):
