@@ -206,9 +206,9 @@ def detector_features(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, outcome string, share double")
 
 
-@query("WITH a AS (SELECT event_type, ts <= TIMESTAMP '2024-01-20' AS train, ts, event_id, value::INT % 3 AS v, ts >= TIMESTAMP '2024-01-10' AS test FROM events), tr AS (SELECT DISTINCT list(v) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS c FROM a WHERE train AND event_type = 'view'), te AS (SELECT list(v) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS c, row_number() OVER (ORDER BY ts, event_id) - 1 AS start FROM a WHERE test AND event_type = 'view') SELECT start::BIGINT AS start FROM te WHERE len(c) = 6 AND c IN (SELECT c FROM tr WHERE len(c) = 6)")
+@query("WITH a AS (SELECT event_type, ts <= TIMESTAMP '2024-01-20' AS train, ts, event_id, floor(value)::INT % 3 AS v, ts >= TIMESTAMP '2024-01-10' AS test FROM events), tr AS (SELECT DISTINCT list(v) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS c FROM a WHERE train AND event_type = 'view'), te AS (SELECT list(v) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS c, row_number() OVER (ORDER BY ts, event_id) - 1 AS start FROM a WHERE test AND event_type = 'view') SELECT start::BIGINT AS start FROM te WHERE len(c) = 6 AND c IN (SELECT c FROM tr WHERE len(c) = 6)")
 def window_overlap(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").filter("event_type = 'view'").select("ts", "event_id", (F.round("value").cast("int") % 3).alias("v"))
+    rows = _t(spark, sf_dir, "events").filter("event_type = 'view'").select("ts", "event_id", (F.floor("value").cast("int") % 3).alias("v"))
     return leakage.window_overlap(rows.filter(F.col("ts") <= F.lit(datetime(2024, 1, 20))), rows.filter(F.col("ts") >= F.lit(datetime(2024, 1, 10))), ALL, "v", 6)
 
 
