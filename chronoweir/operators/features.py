@@ -8,12 +8,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from datetime import datetime
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durations import duration_micros
-from .spec import Bins, SeriesSpec, micros, require
+from .spec import Bins, SeriesSpec, below, micros, require
 
 #: Look-back beyond which an exponential mean is made by a pass in pandas.
 MAX_EMA_ROWS = 2_000
@@ -207,15 +208,16 @@ def add_expanding(df: DataFrame, spec: SeriesSpec, column: str, total_length: bo
         return append(df, dict(zip(names, (cumulative_sum(spec, column), expanding_mean(spec, column, total_length)), strict=True)))
     bins = Bins(df, spec)
     # one row a bin
-    totals = df.select(bins.bin.alias("_bin"), F.col(column).alias("_v")).groupBy("_bin").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_c"))
-    earlier = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_bin", F.sum("_s").over(earlier).alias("_s"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_c"))
+    found = df.select(bins.bin.alias("_bin"), F.col(column).alias("_v")).groupBy("_bin").agg(F.sum("_v").alias("s"), F.count("_v").alias("c")).orderBy("_bin").collect()
+    sums, counts = (list(accumulate((r[k] or 0 for r in found), initial=0))[:-1] for k in ("s", "c"))
     w = Window.partitionBy("_bin").orderBy(*spec.order).rowsBetween(Window.unboundedPreceding, 0)
-    own = F.sum(column).over(w)
-    total = F.when(F.col("_s").isNull(), own).otherwise(F.col("_s") + F.coalesce(own, F.lit(0)))
-    count = F.lit(bins.n) if total_length else F.col("_c") + F.count(column).over(w)
-    rows = df.withColumn("_bin", bins.bin).join(F.broadcast(totals), "_bin").withColumns({names[0]: total, "_n": count})
-    return rows.select(*(F.col(f"`{c}`") for c in df.columns), names[0], F.try_divide(F.col(names[0]), F.col("_n")).alias(names[1]))
+    own, seen = F.sum(column).over(w), F.count(column).over(w)
+    kind = df.select(F.sum(column).alias("s")).schema["s"].dataType
+    before = bins.of([float(x) for x in sums]) if kind.typeName() == "double" else F.get(F.array(*(F.lit(x).cast(kind) for x in sums or [0])), below(bins.ids, F.col("_bin")))
+    count = bins.of(counts) + seen
+    total = F.when(count > 0, before + F.coalesce(own, F.lit(0).cast(kind)))
+    rows = bins.numbered(df).withColumns({names[0]: total, names[1]: F.try_divide(total, F.lit(bins.n) if total_length else count)})
+    return rows.drop("_bin")
 
 
 def feature_window(spec: SeriesSpec, lags: Sequence[int], rolling: Sequence[int] | None = None) -> FeatureWindow:

@@ -40,17 +40,26 @@ def micros(df: DataFrame, column: str) -> Column:
     raise TypeError(f"Column '{column}' is neither a time nor an integer")
 
 
-def below(cuts: Sequence[int], value: Column, width: int = 64) -> Column:
+def literal(values: Sequence) -> Column:
+    """Numbers, or lists of numbers, as an array; one expression, however many there are."""
+
+    def text(v) -> str:
+        return f"array({','.join(map(text, v))})" if isinstance(v, (list, tuple)) else f"{v!r}D" if isinstance(v, float) else f"{v}L"
+
+    return F.expr(text(list(values)))
+
+
+def below(cuts: Sequence[float], value: Column, width: int = 64) -> Column:
     """How many of the ascending cuts are less than a value: a search in two steps, so that thousands of cuts cost some hundred comparisons."""
     if not cuts:
         return F.lit(0)
     groups = [list(cuts[i : i + width]) for i in range(0, len(cuts), width)]
     lesser = lambda of: F.array_size(F.filter(of, lambda c: c < value))
     if len(groups) == 1:
-        return lesser(F.array(*map(F.lit, groups[0])))
+        return lesser(literal(groups[0]))
     # groups whose first cut is below the value; the last of them may have cuts that aren't
-    full = F.greatest(lesser(F.array(*(F.lit(g[0]) for g in groups))) - 1, F.lit(0))
-    return full * width + lesser(F.get(F.array(*(F.array(*map(F.lit, g)) for g in groups)), full))
+    full = F.greatest(lesser(literal([g[0] for g in groups])) - 1, F.lit(0))
+    return full * width + lesser(F.get(literal(groups), full))
 
 
 @dataclass(frozen=True)
@@ -84,9 +93,8 @@ class SeriesSpec:
         if self.partition_cols:
             return df.withColumn(name, F.row_number().over(self.window()).cast("long") - 1)
         bins = Bins(df, self)
-        rows = bins.joined(df, [(b, before) for b, before in zip(bins.ids, bins.before, strict=True)], "_before long")
         number = F.row_number().over(Window.partitionBy("_bin").orderBy(*self.order)) - 1
-        return rows.withColumn(name, F.col("_before") + number).select(*(F.col(f"`{c}`") for c in df.columns), name)
+        return bins.numbered(df).withColumn(name, bins.of(bins.before) + number).drop("_bin")
 
 
 class Bins:
@@ -119,12 +127,14 @@ class Bins:
         self.ids, self.sizes = [b for b, _ in counts], [c for _, c in counts]
         self.before = list(accumulate(self.sizes, initial=0))
         self.n = self.before.pop()
-        self.spark = df.sparkSession
 
-    def joined(self, df: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
-        """df with _bin and what rows (bin, more) have for it."""
-        found = self.spark.createDataFrame(rows, f"_bin long, {columns}")
-        return df.withColumn("_bin", self.bin).join(F.broadcast(found), "_bin")  # one row a bin
+    def numbered(self, df: DataFrame) -> DataFrame:
+        """df with _bin, each row's bin."""
+        return df.withColumn("_bin", self.bin)
+
+    def of(self, values: list) -> Column:
+        """What a list, by bin, has for a row's _bin: a search in a literal, not a join."""
+        return F.get(literal(values or [0]), below(self.ids, F.col("_bin")))
 
     def parts(self, least: int) -> list[int]:
         """A part for each bin: neighbouring bins together have at least so many rows, the last part excepted."""
@@ -138,28 +148,32 @@ class Bins:
 
     def runs(self, df: DataFrame, least: int, halo: int) -> DataFrame:
         """df's rows in runs (_run) of at least max(least, halo) rows, each with the last rows, at least halo, of the run before it, for which _own is false."""
-        part, needs = self.parts(max(least, halo, 1)), {}
+        part = self.parts(max(least, halo, 1))
+        until = list(part)
         for i, p in enumerate(part):
             if i and p != part[i - 1] and halo:
                 k, held = i - 1, 0
                 while k >= 0 and held < halo:
                     held += self.sizes[k]
-                    needs.setdefault(k, []).append(p)
+                    until[k] = p
                     k -= 1
-        return self._dealt(df, part, needs)
+        return self._dealt(df, part, until)
 
     def spans(self, df: DataFrame, least: int, span: int) -> DataFrame:
         """The same with all rows whose time is up to `span` before the run's first. Needs bins by time alone."""
-        part, needs = self.parts(max(least, 1)), {}
+        part = self.parts(max(least, 1))
+        until = list(part)
         last = lambda i: self.cuts[k] if (k := self.ids[i] // SUB_BINS) < len(self.cuts) else None
         for i, p in enumerate(part):
             if i and p != part[i - 1]:
                 k = i - 1
                 while k >= 0 and last(k) > last(i - 1) - span:
-                    needs.setdefault(k, []).append(p)
+                    until[k] = p
                     k -= 1
-        return self._dealt(df, part, needs)
+        return self._dealt(df, part, until)
 
-    def _dealt(self, df: DataFrame, part: list[int], needs: dict[int, list[int]]) -> DataFrame:
-        rows = self.joined(df, [(b, p, [p, *needs.get(i, [])]) for i, (b, p) in enumerate(zip(self.ids, part, strict=True))], "_part long, _runs array<long>")
-        return rows.withColumn("_run", F.explode("_runs")).withColumn("_own", F.col("_run") == F.col("_part")).drop("_bin", "_part", "_runs")
+    def _dealt(self, df: DataFrame, part: list[int], until: list[int]) -> DataFrame:
+        """Rows in the run of their bin's part, and in those after it up to `until`."""
+        rows = self.numbered(df).withColumns({"_part": self.of(part), "_until": self.of(until)})
+        rows = rows.withColumn("_run", F.explode(F.sequence("_part", "_until")))
+        return rows.withColumn("_own", F.col("_run") == F.col("_part")).drop("_bin", "_part", "_until")
