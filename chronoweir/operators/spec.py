@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bins that a series over a whole frame is cut into, at least and at most; between them 16 times the shuffle partitions. And bins by tie-breakers that a time with very many rows is cut into, and how many such times are.
+#: Bins that a series over a whole frame is cut into, at least and at most; between them 4 times the shuffle partitions. And bins by tie-breakers that a time with very many rows is cut into, and how many such times are.
 BINS, MOST_BINS, SUB_BINS, HEAVY = 64, 4096, 256, 64
 
 
@@ -53,13 +53,12 @@ def below(cuts: Sequence[float], value: Column, width: int = 64) -> Column:
     """How many of the ascending cuts are less than a value: a search in two steps, so that thousands of cuts cost some hundred comparisons."""
     if not cuts:
         return F.lit(0)
-    groups = [list(cuts[i : i + width]) for i in range(0, len(cuts), width)]
     lesser = lambda of: F.array_size(F.filter(of, lambda c: c < value))
-    if len(groups) == 1:
-        return lesser(literal(groups[0]))
+    if len(cuts) <= width:
+        return lesser(literal(cuts))
     # groups whose first cut is below the value; the last of them may have cuts that aren't
-    full = F.greatest(lesser(literal([g[0] for g in groups])) - 1, F.lit(0))
-    return full * width + lesser(F.get(literal(groups), full))
+    full = F.greatest(lesser(literal(cuts[::width])) - 1, F.lit(0))
+    return full * width + lesser(F.slice(literal(cuts), full * width + 1, F.lit(width)))
 
 
 @dataclass(frozen=True)
@@ -105,7 +104,7 @@ class Bins:
 
     def __init__(self, df: DataFrame, spec: SeriesSpec, by_ties: bool = True):
         t = micros(df, spec.time_col)
-        n = min(MOST_BINS, max(BINS, 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        n = min(MOST_BINS, max(BINS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         shares = ", ".join(str(i / n) for i in range(1, n))
         found = df.select(t.alias("t")).agg(F.expr(f"percentile_approx(t, array({shares}), {20 * n})")).first()[0] or []
         often = Counter(found)
