@@ -9,10 +9,11 @@ Cases: null ids: scored like others, never trained on. Null or empty text: score
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +33,8 @@ STEPS = 60
 #: Evidence that says as little as none: below it the curve is flat.
 LITTLE = 0.3
 KEPT_WORDS = 400_000
+#: Texts that are sketched or scored together while learning, and places of training sequences that are worked on together.
+TOGETHER, PLACES = 500, 100_000
 _WORD = re.compile(f"[^{re.escape(common.SPACE)}]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -115,10 +118,9 @@ def marginals(emissions: np.ndarray, counts: np.ndarray, pair: np.ndarray) -> np
 
 def _distinct(texts: list[str]) -> list[int]:
     """Places of texts that aren't copies or near copies of an earlier one: under half of the coordinates of their sketches have come before. Copies would make any word of theirs look frequent."""
-    value, counts = sets(texts, 3)
     seen: set[tuple[int, int]] = set()
     out = []
-    for i, row in enumerate(sketches(value, counts, 8).tolist()):
+    for i, row in enumerate(row for k in range(0, len(texts), TOGETHER) for row in sketches(*sets(texts[k : k + TOGETHER], 3), 8).tolist()):
         known = sum((j, x) in seen for j, x in enumerate(row))
         seen.update(enumerate(row))
         if known < 4:
@@ -126,23 +128,45 @@ def _distinct(texts: list[str]) -> list[int]:
     return out
 
 
-def _marked(texts: list[list[str]], toxic: np.ndarray, known: Callable[[str], list[str]]) -> set[str]:
+def _numbered(split: Iterable[Sequence[str]]) -> tuple[list[np.ndarray], list[str]]:
+    """The words of each text as numbers, in the order in which words are first met, and the words."""
+    number: dict[str, int] = {}
+    word = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)) for words in split]
+    return word, list(number)
+
+
+def _featured(names: Iterable[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The features of words as numbers, word after word; where each word's begin, and the last word's end; and the features."""
+    number: dict[str, int] = {}
+    ends = [0]
+
+    def each():
+        for w in names:
+            found = features(w)
+            ends.append(ends[-1] + len(found))
+            yield from (number.setdefault(f, len(number)) for f in found)
+
+    flat = np.fromiter(each(), np.int32)
+    return flat, np.array(ends), list(number)
+
+
+def _marked(split: Iterable[Sequence[str]], toxic: np.ndarray) -> set[str]:
     """Words with a feature that toxic documents have too often for chance, and clean ones hardly: once in a document, or twice at least.
 
     Features are taken from the most telling on, and each must hold for the words that no earlier one has: so the beginning of a telling word doesn't count by that word alone.
     """
-    found = [Counter(words) for words in texts]
-    seen = {(y, k): Counter() for y in (True, False) for k in (1, 2)}
-    for words, y in zip(found, toxic.tolist(), strict=True):
-        mine: Counter = Counter()
-        for w, times in words.items():
-            for f in known(w):
-                mine[f] += times
-        seen[y, 1].update(mine.keys())
-        seen[y, 2].update(f for f, times in mine.items() if times > 1)
+    word, words = _numbered(split)
+    feature, begin, names = _featured(words)
+    seen = {(y, k): np.zeros(len(names), np.int64) for y in (True, False) for k in (1, 2)}
+    for at, y in zip(word, toxic.tolist(), strict=True):
+        at, times = np.unique(at, return_counts=True)
+        size = begin[at + 1] - begin[at]
+        mine, which = np.unique(feature[np.repeat(begin[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())], return_inverse=True)
+        seen[y, 1][mine] += 1
+        seen[y, 2][mine[np.bincount(which, np.repeat(times, size), len(mine)) > 1]] += 1
     n, m = int(toxic.sum()), int((~toxic).sum())
     base = n / (n + m)
-    limit = max(np.log(1e-3 / (len(seen[True, 1]) + 1)), np.log(1e-4) if n < 100 else -np.inf)
+    limit = max(np.log(1e-3 / (np.count_nonzero(seen[True, 1]) + 1)), np.log(1e-4) if n < 100 else -np.inf)
 
     def chance(k: int, c: int) -> float:
         """A bound for the logarithm of the chance of k toxic documents or more out of k + c; 0 if clean ones have it too."""
@@ -151,18 +175,22 @@ def _marked(texts: list[list[str]], toxic: np.ndarray, known: Callable[[str], li
         share = k / (k + c)
         return -(k * np.log(share / base) + (c * np.log((1 - share) / (1 - base)) if c else 0))
 
-    good = {f: x for f in seen[True, 1] if (x := min(chance(seen[True, k][f], seen[False, k][f]) for k in (1, 2))) < limit}
-    words_of: dict[str, set[str]] = {}
-    places: dict[str, list[tuple[int, int]]] = {}
-    for i, words in enumerate(found):
-        for w, times in words.items():
-            mine = [f for f in known(w) if f in good]
-            for f in mine:
-                words_of.setdefault(f, set()).add(w)
-            if mine:
-                places.setdefault(w, []).append((i, times))
-    marked: set[str] = set()
-    for f in sorted(good, key=lambda f: (good[f], -len(f), f)):
+    some = np.flatnonzero(seen[True, 1] >= 3).tolist()
+    good = {f: x for f in some if (x := min(chance(int(seen[True, k][f]), int(seen[False, k][f])) for k in (1, 2))) < limit}
+    telling = np.zeros(len(names), bool)
+    telling[list(good)] = True
+    held = np.flatnonzero(telling[feature])
+    words_of: dict[int, set[int]] = {}
+    for w, f in zip((np.searchsorted(begin, held, "right") - 1).tolist(), feature[held].tolist(), strict=True):
+        words_of.setdefault(f, set()).add(w)
+    told = np.zeros(len(words), bool)
+    told[[w for ws in words_of.values() for w in ws]] = True
+    places: dict[int, list[tuple[int, int]]] = {}
+    for i, at in enumerate(word):
+        for w, times in zip(*(x.tolist() for x in np.unique(at[told[at]], return_counts=True)), strict=True):
+            places.setdefault(w, []).append((i, times))
+    marked: set[int] = set()
+    for f in sorted(good, key=lambda f: (good[f], -len(names[f]), names[f])):
         rest, docs = words_of[f] - marked, Counter()
         for w in rest:
             for i, times in places[w]:
@@ -173,7 +201,7 @@ def _marked(texts: list[list[str]], toxic: np.ndarray, known: Callable[[str], li
             if chance(k, len(held) - k) < limit:
                 marked |= rest
                 break
-    return marked
+    return {words[w] for w in marked}
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
@@ -185,24 +213,21 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     if not y[apart].any() or y[apart].all():
         apart = list(range(len(texts)))
     texts, y = [texts[i] for i in apart], y[apart]
-    split = [_WORD.findall(t) for t in texts]
-    memo: dict[str, list[str]] = {}
-    known = lambda w: memo.get(w) or memo.setdefault(w, features(w))
-    marked = _marked(split, y, known)
+    # split anew for each use: all words as strings take seven times the texts' memory
+    marked = _marked(map(_WORD.findall, texts), y)
     if not marked:
         return Model()
-    model = _trained(split, y, marked, known)
+    model = _trained(map(_WORD.findall, texts), y, marked)
     emit = Emissions(model)
-    evidence = np.concatenate([_evidence([t.encode().split() for t in texts[k : k + 500]], emit, model)[0] for k in range(0, len(texts), 500)])
+    evidence = np.concatenate([_evidence([t.encode().split() for t in texts[k : k + TOGETHER]], emit, model)[0] for k in range(0, len(texts), TOGETHER)])
     return _curved(model, np.log(LITTLE + evidence), y)
 
 
-def _sequences(split: list[list[str]], toxic: np.ndarray, marked: set[str]):
+def _sequences(split: Iterable[Sequence[str]], toxic: np.ndarray, marked: set[str]):
     """Training sequences laid end to end: the word of each place as a number, the words, whether the place is labelled, and the sequences' lengths."""
-    number: dict[str, int] = {}
-    word = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words in split]
-    hit = np.fromiter((w in marked for w in number), bool, len(number))
-    places, labels, lengths = [np.empty(0, np.int64)], [np.empty(0, bool)], [0]
+    word, names = _numbered(split)
+    hit = np.fromiter((w in marked for w in names), bool, len(names))
+    places, labels, lengths = [np.empty(0, np.int32)], [np.empty(0, bool)], [0]
     for at, t in zip(word, toxic.tolist(), strict=True):
         near = np.ones(len(at), bool)
         if t:
@@ -216,35 +241,50 @@ def _sequences(split: list[list[str]], toxic: np.ndarray, marked: set[str]):
         cut = np.append(np.flatnonzero(np.diff(kept) > 1) + 1, len(kept))
         for n in np.diff(cut, prepend=0).tolist():
             lengths += [STRETCH] * (n // STRETCH) + [n % STRETCH] * (n % STRETCH > 0)
-    return np.concatenate(places), list(number), np.concatenate(labels).astype(float), np.array(lengths, np.int64)
+    return np.concatenate(places), names, np.concatenate(labels), np.array(lengths, np.int64)
+
+
+def _parts(counts: np.ndarray):
+    """Sequences laid end to end in parts of about PLACES places: for each part its places, their layout, and those with one before them."""
+    ends = np.cumsum(counts)
+    cuts = np.append(np.flatnonzero(np.diff(ends // PLACES, prepend=-1)), len(counts))
+    for a, b in itertools.pairwise(cuts.tolist()):
+        mine = counts[a:b]
+        start, stop = int(ends[a] - counts[a]), int(ends[b - 1])
+        first = np.zeros(stop - start + 1, bool)
+        first[np.cumsum(mine) - mine] = True
+        at, begin = laid(mine)
+        yield slice(start, stop), (at.astype(np.int32), begin), np.flatnonzero(~first[:-1]).astype(np.int32)
 
 
-def _trained(split: list[list[str]], toxic: np.ndarray, marked: set[str], known: Callable[[str], list[str]]) -> Model:
+def _trained(split: Iterable[Sequence[str]], toxic: np.ndarray, marked: set[str]) -> Model:
     word, names, label, counts = _sequences(split, toxic, marked)
-    held = np.unique(word)
-    seen = Counter(f for i in held.tolist() for f in known(names[i]))
     often = np.bincount(word, minlength=len(names))
-    for i in held.tolist():  # how many places have a feature
-        for f in known(names[i]) if often[i] > 1 else ():
-            seen[f] += int(often[i]) - 1
-    number = {f: i for i, f in enumerate(f for f, n in seen.items() if n >= 3)}
-    pairs = [(i, number[f]) for i in held.tolist() for f in known(names[i]) if f in number]
-    rows, columns = np.array(pairs, np.int64).reshape(-1, 2).T
-    n = len(label)
-    first = np.zeros(n + 1, bool)
-    first[np.cumsum(counts) - counts] = True
-    prior = np.nonzero(~first[:n])[0]  # places with one before them
-    layout, pair = laid(counts), np.array([[0.5, 0.0], [0.0, 0.5]])
+    held = np.flatnonzero(often)
+    feature, begin, known = _featured(names[i] for i in held.tolist())
+    rows = np.repeat(held, np.diff(begin))
+    kept = np.bincount(feature, often[rows], len(known)) >= 3  # places that have a feature
+    rows, columns = rows[kept[feature]], (np.cumsum(kept) - 1)[feature[kept[feature]]]
+    number = {f: i for i, f in enumerate(itertools.compress(known, kept.tolist()))}
+    words = len(names)
+    del feature, begin, known, names
+    parts, pair = list(_parts(counts)), np.array([[0.5, 0.0], [0.0, 0.5]])
     flat = np.concatenate([np.zeros(len(number)), [-4.0], pair.ravel()])
     mean, square = np.zeros_like(flat), np.zeros_like(flat)
     seen_pairs = np.zeros((2, 2))
-    np.add.at(seen_pairs, (label[prior - 1].astype(int), label[prior].astype(int)), 1)
+    for place, _, prior in parts:
+        mine = label[place].astype(int)
+        np.add.at(seen_pairs, (mine[prior - 1], mine[prior]), 1)
+    wrong_at = np.empty(len(label))
     scale = max(1.0, label.sum())
     for step in range(1, STEPS + 1):
         weights, bias, pair = flat[: len(number)], flat[len(number)], flat[len(number) + 1 :].reshape(2, 2)
-        emissions = bias + np.bincount(rows, weights[columns], len(names))[word]
-        p, edges = _expected(emissions, layout, pair, prior)
-        wrong = np.bincount(word, label - p, len(names))  # summed by word, then by feature
+        emissions, edges = bias + np.bincount(rows, weights[columns], words), np.zeros((2, 2))
+        for place, layout, prior in parts:
+            p, mine = _expected(emissions[word[place]], layout, pair, prior)
+            wrong_at[place] = label[place] - p
+            edges += mine
+        wrong = np.bincount(word, wrong_at, words)  # summed by word, then by feature
         gradient = np.concatenate([np.bincount(columns, wrong[rows], len(number)) - 0.05 * weights, [wrong.sum()], (seen_pairs - edges - 0.05 * pair).ravel()]) / scale
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         flat = flat + 0.25 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -85,6 +86,36 @@ def test_plain_score():
         assert abs(model.scores(toxicity._evidence([text.encode().split()], emit, model)[0])[0] - want) < 1e-9
 
 
+def test_learning_takes_little_memory(monkeypatch):
+    """All words as strings, lists of features and step arrays over all places took 76 times these texts' bytes; numbers worked on in parts take 25."""
+    monkeypatch.setattr(toxicity, "PLACES", 5000, raising=False)
+    monkeypatch.setattr(toxicity, "TOGETHER", 50, raising=False)
+    rng = random.Random(3)
+    texts, y = labelled(1, 800)
+    texts = [t + "".join(f" {rng.choice('bdgklm')}a{rng.randrange(10**5)}" for _ in range(100)) for t in texts]
+    toxicity.fit(texts[:40], y[:40])
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(texts, y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.weights
+    assert peak < 35 * sum(map(len, texts)), peak / sum(map(len, texts))
+
+
+@pytest.mark.parametrize("places", [1, 70, 1000])
+def test_parts_of_places_change_nothing(monkeypatch, places):
+    texts, y = labelled(5, 60)
+    whole = toxicity.fit(texts, y)
+    monkeypatch.setattr(toxicity, "PLACES", places)
+    parts = toxicity.fit(texts, y)
+    assert parts.weights.keys() == whole.weights.keys()
+    assert np.allclose([parts.weights[f] for f in whole.weights], list(whole.weights.values()), atol=1e-6)
+    counts = np.array([3, 1, 64, 64, 2, 5])
+    assert [p.stop - p.start for p, _, _ in toxicity._parts(counts)] == ([*counts] if places == 1 else [68, 71] if places == 70 else [139])
+
+
 def test_nothing_to_learn_from():
     for texts, y in (([], []), (["a b"], [1]), (["a", "b"], [0, 0])):
         model = toxicity.fit(texts, y)
