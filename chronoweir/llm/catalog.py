@@ -10,7 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
-    "op6_quality": quality.op6_quality,
+    "op6_quality": quality.op6_rows,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_sharding": sharding.op9_sharding,

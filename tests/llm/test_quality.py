@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from chronoweir.llm import quality
+from chronoweir.llm import catalog, quality
 from conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,3 +75,11 @@ def test_query(spark, tables):
             want, _ = brute(short[r["doc_id"]])
             assert {k: r[k] for k in want} == want
             assert r["base_failed"] == (want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"])
+
+
+def test_longest_repeat_is_kept_by_the_operator_only(spark, tables):
+    at, _ = tables["odd"]
+    whole, query = quality.op6_quality(spark, at), catalog.QUERIES["op6_quality"](spark, at)
+    assert "longest" in whole.columns
+    assert query.columns == [c for c in whole.columns if c != "longest"]
+    assert sorted(map(str, query.collect())) == sorted(map(str, whole.drop("longest").collect()))
