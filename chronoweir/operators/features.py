@@ -190,14 +190,30 @@ class FeatureWindow:
 
 
 def add_duration_mean(df: DataFrame, spec: SeriesSpec, column: str, duration: str | int, name: str = "rolling_mean", run_rows: int = RUN_ROWS) -> DataFrame:
-    """df with rolling_mean_duration(). A frame that is one series is cut into runs, each with the rows of the time before it."""
+    """df with rolling_mean_duration(), each row added up twice however many a window has.
+
+    Times fall into blocks as long as the duration, so a window is the end of one block and the beginning of the next: a running sum of a block from its start, and one of the block before from its end. Sums are only added to, never subtracted from. A task has one block and the values of the block before; blocks replace runs, so run_rows changes nothing.
+    """
     spec.check(df, column)
-    if spec.partition_cols:
-        return append(df, {name: rolling_mean_duration(df, spec, column, duration)})
+    if name in df.columns:
+        raise ValueError(f"Columns already present: {[name]}")
     span = duration_micros(duration) if isinstance(duration, str) else _positive(duration)
-    rows = Bins(df, spec, by_ties=False).spans(df, run_rows, span)
-    made = append(rows, {name: rolling_mean_duration(df, SeriesSpec(spec.time_col, ["_run"]), column, duration)})
-    return made.filter("_own").drop("_run", "_own")
+    kind = df.select(F.avg(column).alias("m")).schema["m"].dataType
+    value = F.col(column).cast("double") if kind.typeName() == "double" else F.col(column)
+    keys = [f"_key{i}" for i in range(len(spec.partition_cols))]
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *(F.col(c).alias(k) for c, k in zip(spec.partition_cols, keys, strict=True)), micros(df, spec.time_col).alias("_t"), value.alias("_v"))
+    # rows without a time are peers of each other only
+    rows = rows.select("*", F.pmod("_t", F.lit(span)).alias("_at"), F.explode(F.when(F.col("_t").isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))).alias("_own"))
+    own = F.col("_own")
+    start = F.col("_t") - F.col("_at") + F.when(own, F.lit(0)).otherwise(F.lit(span))
+    # a row of the block before counts for times less than a duration after it, so it stands before an own row of the same place
+    rows = rows.select(*keys, "_own", "_v", F.when(own, F.col("_row")).alias("_row"), start.alias("_start"), (F.col("_at") * 2 + own.cast("long")).alias("_place"))
+    block = Window.partitionBy(*keys, "_start")
+    over = lambda order: block.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = ((F.when(own, F.col("_v")), over(F.asc("_place"))), (F.when(~own, F.col("_v")), over(F.desc("_place"))))
+    made = rows.withColumns({f"_{n}{i}": of(v).over(w) for i, (v, w) in enumerate(sides) for n, of in (("s", F.sum), ("c", F.count))})
+    total = F.coalesce(F.col("_s0") + F.col("_s1"), F.col("_s0"), F.col("_s1"))
+    return made.filter("_own").select("_row.*", F.try_divide(total, F.col("_c0") + F.col("_c1")).cast(kind).alias(name))
 
 
 def add_expanding(df: DataFrame, spec: SeriesSpec, column: str, total_length: bool = False) -> DataFrame:
