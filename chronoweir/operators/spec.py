@@ -10,6 +10,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.internal import InternalFunction
 
 #: Bins that a series over a whole frame is cut into, at least and at most; between them 4 times the shuffle partitions. And bins by tie-breakers that a time with very many rows is cut into, and how many such times are.
 BINS, MOST_BINS, SUB_BINS, HEAVY = 64, 4096, 256, 64
@@ -49,16 +50,17 @@ def literal(values: Sequence) -> Column:
     return F.expr(text(list(values)))
 
 
-def below(cuts: Sequence[float], value: Column, width: int = 64) -> Column:
-    """How many of the ascending cuts are less than a value: a search in two steps, so that thousands of cuts cost some hundred comparisons."""
+def below(cuts: Sequence[float], value: Column) -> Column:
+    """How many of the ascending, distinct cuts are less than a value: one binary search in compiled code. The value stands in it once, since Spark puts searches whose value is a search into one expression."""
     if not cuts:
         return F.lit(0)
-    lesser = lambda of: F.array_size(F.filter(of, lambda c: c < value))
-    if len(cuts) <= width:
-        return lesser(literal(cuts))
-    # groups whose first cut is below the value; the last of them may have cuts that aren't
-    full = F.greatest(lesser(literal(cuts[::width])) - 1, F.lit(0))
-    return full * width + lesser(F.slice(literal(cuts), full * width + 1, F.lit(width)))
+    if any(isinstance(c, float) for c in cuts):
+        # the search tells -0.0 from 0.0
+        cuts, value = [float(c) + 0.0 for c in cuts], value.cast("double")
+    # the search has a place from 0 for a value among the cuts, else -1 - the place where it would be
+    n = len(cuts)
+    places = literal([*range(n, -1, -1), *range(n)])
+    return F.get(places, InternalFunction.array_binary_search(literal(cuts), value) + n + 1)
 
 
 @dataclass(frozen=True)
@@ -102,13 +104,13 @@ class Bins:
     Two or three small jobs find the cuts and count the rows of each bin; at most MOST_BINS + HEAVY * SUB_BINS numbers come to the driver. A row's bin is a function of its own columns.
     """
 
-    def __init__(self, df: DataFrame, spec: SeriesSpec, by_ties: bool = True):
+    def __init__(self, df: DataFrame, spec: SeriesSpec):
         t = micros(df, spec.time_col)
         n = min(MOST_BINS, max(BINS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         shares = ", ".join(str(i / n) for i in range(1, n))
         found = df.select(t.alias("t")).agg(F.expr(f"percentile_approx(t, array({shares}), {20 * n})")).first()[0] or []
         often = Counter(found)
-        heavy = sorted((c for c, k in often.items() if k > 1), key=lambda c: -often[c])[:HEAVY] if by_ties and spec.tie_breakers else []
+        heavy = sorted((c for c, k in often.items() if k > 1), key=lambda c: -often[c])[:HEAVY] if spec.tie_breakers else []
         kind = df.schema[spec.tie_breakers[0]].dataType if heavy else None
         if not isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)):
             heavy = []
@@ -158,21 +160,10 @@ class Bins:
                     k -= 1
         return self._dealt(df, part, until)
 
-    def spans(self, df: DataFrame, least: int, span: int) -> DataFrame:
-        """The same with all rows whose time is up to `span` before the run's first. Needs bins by time alone."""
-        part = self.parts(max(least, 1))
-        until = list(part)
-        last = lambda i: self.cuts[k] if (k := self.ids[i] // SUB_BINS) < len(self.cuts) else None
-        for i, p in enumerate(part):
-            if i and p != part[i - 1]:
-                k = i - 1
-                while k >= 0 and last(k) > last(i - 1) - span:
-                    until[k] = p
-                    k -= 1
-        return self._dealt(df, part, until)
-
     def _dealt(self, df: DataFrame, part: list[int], until: list[int]) -> DataFrame:
         """Rows in the run of their bin's part, and in those after it up to `until`."""
-        rows = self.numbered(df).withColumns({"_part": self.of(part), "_until": self.of(until)})
-        rows = rows.withColumn("_run", F.explode(F.sequence("_part", "_until")))
-        return rows.withColumn("_own", F.col("_run") == F.col("_part")).drop("_bin", "_part", "_until")
+        # one search a row; own rows are told by their place, since a filter over _part would have the searches in the scan once more
+        rows = self.numbered(df).withColumn("_place", below(self.ids, F.col("_bin")))
+        part_of, until_of = (F.get(literal(v or [0]), F.col("_place")) for v in (part, until))
+        rows = rows.select("*", F.posexplode(F.sequence(part_of, until_of)).alias("_nth", "_run"))
+        return rows.withColumn("_own", F.col("_nth") == 0).drop("_bin", "_place", "_nth")

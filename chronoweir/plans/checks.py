@@ -161,13 +161,16 @@ def validator_wrapper(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('same in another order', true, true), ('one value changed', true, false), ('one time changed', false, true), ('values swapped', true, false)) t(what, same_times, same_values)")
 def fingerprint_hashes(spark, sf_dir):
     rows = _events(spark, sf_dir)
-    first = rows.agg(F.min(F.struct("ts", "event_id", "value")).alias("m")).first()["m"]
+    ends = F.struct("ts", "event_id", "value")
+    first, last = rows.agg(F.min(ends), F.max(ends)).first()
     mine, value = F.col("event_id") == first["event_id"], F.col("value")
+    # every value goes one row on, and the last to the first
+    turned = features.FeatureWindow(ALL, [1]).transform(rows, "value")
     cases = {
         "same in another order": rows.repartition(7, "value"),
         "one value changed": rows.withColumn("value", F.when(mine, value + 1).otherwise(value)),
         "one time changed": rows.withColumn("ts", F.when(mine, F.col("ts") - F.expr("INTERVAL '1' SECOND")).otherwise(F.col("ts"))),
-        "values swapped": rows.withColumn("value", F.lead("value", 1, first["value"]).over(ALL.window())),
+        "values swapped": turned.select("event_id", "ts", F.when(mine, F.lit(last["value"])).otherwise(F.col("value_lag_1")).alias("value")),
     }
     of = lambda df, name: leakage.fingerprint(df, "ts", "value", name, ["event_id"])
     base = of(rows, "base").first()
